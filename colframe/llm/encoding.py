@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import table_encoder, vocabulary
 from .store import limit_batches
@@ -24,7 +25,7 @@ def map_ids(df: DataFrame, tokenizer: str, id_col: str, text_col: str, columns:
     limit_batches(df.sparkSession)
     schema = df.select(F.col(id_col)).schema
     for name, kind in columns.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, mixing, warc
+from . import encoding, langid, media, mixing, tokenstore, warc
 from .sql import ORACLES
 
 
@@ -28,12 +28,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(index).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tokenstore.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
+    return store.checksums().withColumnRenamed("key", "doc_id")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_language_id, op5_token_store, op6_media, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
