@@ -43,3 +43,24 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, digest AS payload_dige
        CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
 FROM b
 """
+
+ORACLES["op8_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (
+  SELECT doc_id, s, count(*) AS c
+  FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM w WHERE len(ws) > 0)
+  GROUP BY doc_id, s),
+total AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY doc_id),
+both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS m
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM both_ JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b
+  WHERE m::DOUBLE / (x.n + y.n - m)::DOUBLE >= 0.8),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT doc_id, min(r) AS class_id, min(r) = doc_id AS kept FROM reach GROUP BY doc_id
+"""
