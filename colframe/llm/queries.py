@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, langid, media, minhash, mixing, tokenstore, warc
+from . import encoding, langid, media, minhash, mixing, repeats, tokenstore, warc
 from .sql import ORACLES
 
 
@@ -32,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tokenstore.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
     return store.checksums().withColumnRenamed("key", "doc_id")
@@ -50,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_language_id, op5_token_store, op6_media, op8_near_duplicates, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_language_id, op4_repeats, op5_token_store, op6_media, op8_near_duplicates, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
