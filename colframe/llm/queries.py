@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, langid, media, minhash, mixing, repeats, tokenstore, warc
+from . import encoding, langid, media, minhash, mixing, repeats, tokenstore, vectors, warc
 from .sql import ORACLES
 
 
@@ -45,6 +45,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_language_id, op4_repeats, op5_token_store, op6_media, op8_near_duplicates, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_language_id, op4_repeats, op5_token_store, op6_media, op7_near_vectors, op8_near_duplicates, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

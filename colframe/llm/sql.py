@@ -64,3 +64,22 @@ reach(doc_id, r) AS (
   SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT doc_id, min(r) AS class_id, min(r) = doc_id AS kept FROM reach GROUP BY doc_id
 """
+
+ORACLES["op7_near_vectors"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / a.n / b.n >= 0.95),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+least_ AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+FROM least_ LEFT JOIN n ON n.a = vec_id
+"""
