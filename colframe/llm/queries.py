@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, langid, media, minhash, mixing, repeats, tokenstore, vectors, warc
+from . import encoding, html, langid, media, minhash, mixing, repeats, tokenstore, vectors, warc
 from .sql import ORACLES
 
 
@@ -53,12 +53,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_language_id, op4_repeats, op5_token_store, op6_media, op7_near_vectors, op8_near_duplicates, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_language_id, op4_repeats, op5_token_store, op6_media, op7_near_vectors, op8_near_duplicates, op9_main_text, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -83,3 +83,18 @@ n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
 FROM least_ LEFT JOIN n ON n.a = vec_id
 """
+
+# The test tables' pages keep their main text in one article element of headings and paragraphs.
+ORACLES["op9_main_text"] = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+b AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(x, '</?(h1|p)>', chr(1), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts
+  FROM a),
+c AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda t:
+           trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda t: t <> '') AS blocks
+  FROM b)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, len(coalesce(array_to_string(blocks, chr(10)), ''))::BIGINT AS n_chars
+FROM c
+"""
