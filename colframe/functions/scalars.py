@@ -128,7 +128,8 @@ def binary(lhs: Any, rhs: Any, op: str, output_type: Any = None, floats: bool =
         out = out if bits == 64 else wrapped(out, bits)
     elif op == "divide" and to is not None and is_integer(to):
         a, b = a.cast("long"), b.cast("long")
-        out = F.call_function("div", a, F.when(b != 0, b))
+        # the least number has no negative: it stays as it is
+        out = F.when(b == -1, F.coalesce(F.try_subtract(F.lit(0).cast("long"), a), a)).otherwise(F.call_function("div", a, F.when((b != 0) & (b != -1), b)))
     elif op in ("add", "subtract", "multiply"):
         out = a + b if op == "add" else a - b if op == "subtract" else a * b
     elif op in ("divide", "true_divide"):
