@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -230,12 +231,18 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        # words are given to the file's model itself, in the alphabet that stands for bytes
+        self.model = Tokenizer.from_file(path).model
+        self.alphabet = {chr(b): c for c, b in byte_alphabet().items()}
+        self.alphabet = str.maketrans(self.alphabet)
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        if not words:
+            return []
+        # a byte that no UTF-8 text holds parts the words
+        texts = b"\xff".join(words).decode("latin-1").split("\xff")
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        return [[t.id for t in tokenize(w.translate(alphabet))] if w else [] for w in texts]
 
 
 @lru_cache(maxsize=1)
@@ -393,13 +400,22 @@ class TableEncoder:
         if new:
             w = where[new]
             ends = np.append(starts[1:], len(points))
-            raw = points.tobytes()
-            words = [raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)]
-            ids = self.encode_words(["".encode() if x == chr(BORDER) else x.encode() for x in words])
+            # the new words behind each other, each after a border, as one text
+            size = ends[w] - starts[w]
+            total = np.cumsum(size + 1)
+            spread = np.full(int(total[-1]), BORDER, np.uint32)
+            inside = np.ones(len(spread), bool)
+            inside[total - size - 1] = False
+            spread[inside] = points[np.repeat(starts[w] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            mark = chr(BORDER).encode("utf-8", "surrogatepass")
+            words = spread[1:].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass").split(mark)
+            if len(words) != len(new):  # a border is among them, as the empty word between two
+                k = next(i for i, x in enumerate(w.tolist()) if points[starts[x]] == BORDER)
+                del words[k : k + 1]
+            ids = self.encode_words(words)
             at, base = len(self.flat), len(self.first)
             lengths = [len(x) for x in ids]
-            for x in ids:
-                self.flat.extend(x)
+            self.flat.extend(chain.from_iterable(ids))
             self.first.extend((at + np.cumsum([0, *lengths[:-1]])).tolist())
             self.length.extend(lengths)
             self.second.extend(checks[w].tolist())

@@ -42,9 +42,11 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n] if n else []
     x = _values()[ids & 0x3FFFF]
-    h = x.copy()
-    for k in range(1, min(LOOK, n)):  # a rolling hash: each id counts by its distance
-        h[k:] += x[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+    h = x
+    for k in (1, 2, 4, 8):  # a rolling hash of LOOK ids, by doubling: each id counts by its distance
+        y = h.copy()
+        y[k:] += h[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+        h = y
     cuts = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
     out, at = [], 0
     while n - at > LEAST:
@@ -65,13 +67,20 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+@lru_cache(maxsize=1)
+def _codec():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(ids: np.ndarray, width: int) -> bytes:
     """The bytes of a chunk in a pack: ids of ``width`` bytes, little-endian, compressed."""
-    return zlib.compress(ids.astype(f"<u{width}").tobytes(), 1)
+    return _codec()[0].compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpacked(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), f"<u{width}").astype(np.uint32)
+    return np.frombuffer(_codec()[1].decompress(data), f"<u{width}").astype(np.uint32)
 
 
 def chunk_digest(ids: np.ndarray) -> bytes:
