@@ -134,15 +134,18 @@ def parse(page: str) -> Node:
                 block = None
             here.elements += 1
             continue
-        block = None
         if closing:
             x = here
             while x is not root and x.tag != tag:
                 x = x.parent
             if x is not root:
                 here = x.parent
+            elif tag != "p":  # it closes nothing
+                continue
+            block = None
             inline.clear()
             continue
+        block = None
         if tag in ("html", "body"):
             if tag == "body":
                 root.tokens += attribute_tokens(m[3])

@@ -94,7 +94,7 @@ def text_means(texts: list[str], table: np.ndarray) -> np.ndarray:
             total = 0
             for at in range(0, len(t), PIECE):
                 # subwords that start in a piece may end up to 3 characters behind it; they are counted there once
-                total = total + _sums([t[at : at + PIECE + max(SIZES) - 1]], table, starts=PIECE + (at == 0), skip=at > 0)
+                total = total + _sums([t[at : at + PIECE + max(SIZES) - 1]], table, starts=PIECE + 1, skip=at > 0)
             out.append(total)
             continue
         if size + len(t) > PIECE:
@@ -109,13 +109,13 @@ def text_means(texts: list[str], table: np.ndarray) -> np.ndarray:
 
 def _sums(texts: list[str], table: np.ndarray, starts: int = 0, skip: bool = False) -> np.ndarray:
     """Sums of rows, and in the last column their number. For a piece of a longer text, only subwords that start
-    in its first ``starts`` positions count, without those at the made-up space before it."""
+    in its first ``starts`` positions count, the made-up space before it being one, but with ``skip`` none there."""
     points = _points(texts)
     edges = np.flatnonzero(points == 0)[:-1]
     out = np.zeros((len(texts), table.shape[1] + 1))
     for bucket, ok in subwords(points):
         if starts:
-            ok[1 + starts + (not skip and 0) :] = False
+            ok[1 + starts :] = False
             if skip:
                 ok[:2] = False
         at = np.minimum(edges, len(ok) - 1)
