@@ -9,7 +9,7 @@ texts cost little.
 
 Texts that share a band of registers are verified by the overlap of their multisets. Equal texts are one node.
 In a band's group, all are verified against one of them; what this leaves in different components is verified
-against another, and at last pairwise, so no link that would join components is lost.
+against another, and at last components against each other, so no link that would join them is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from .store import limit_batches, utf8, written
 
 #: A pair of similarity 0.8 shares none of 24 bands of 4 registers with a probability of 3 in a million.
 BANDS, ROWS = 24, 4
-#: Rounds of verifying against one member of each group, before the rest is verified pairwise.
-PIVOT_ROUNDS = 3
+#: Rounds of verifying against one member of each group, before components are compared with each other.
+PIVOT_ROUNDS = 2
+#: Nodes of a block in the last round.
+CROSS_BLOCK = 1000
 #: Texts, in bytes, whose signatures are made at once.
 BLOCK = 2 << 20
 
@@ -187,6 +189,82 @@ def verified(pairs: DataFrame, contents: DataFrame, n: int, least: float) -> Dat
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
+def cross_links(members: DataFrame, contents: DataFrame, n: int, least: float) -> DataFrame:
+    """Links between components among ``band, node, component, p`` rows whose bands join different ones.
+
+    Bands chain nodes to clusters. All of a cluster but its largest component is compared with all of it, in blocks of its
+    nodes; a task gives links that join components and no others. Pairs are compared by their signatures first, and those
+    that may be similar by their multisets."""
+    clusters = connected_components(members.select(F.col("node").alias("u"), F.col("p.node").alias("v")))
+    nodes = written(members.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node"), "minhash-clusters")
+    sizes = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    nodes = nodes.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / CROSS_BLOCK).cast("int"))
+    own = nodes.select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "node", "component")
+    few = nodes.where("component != top.component").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "component")
+    rows = own.unionByName(few).join(contents, "node").select("cluster", "block", "side", "node", "component", "z").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        key, group = None, []
+
+        def flush():
+            links = _cross(group, unpack, n, least) if group else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            for cluster, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, block) != key:
+                    yield flush()
+                    key, group = (cluster, block), []
+                group.append(row)
+        yield flush()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _cross(group: list, unpack, n: int, least: float) -> list[tuple[int, int]]:
+    """Links between components of ``side, node, component, z`` rows, from side 1 to side 0, a spanning set of them."""
+    unique = {node: (component, z) for _, node, component, z in group}
+    nodes = list(unique)
+    place = {x: i for i, x in enumerate(nodes)}
+    texts = [unpack.decompress(unique[x][1]) for x in nodes]
+    sets, sigs, weight = [], [], []
+    for block in _blocks(texts):
+        some = [texts[i] for i in block]
+        text, h, c = shingles(some, n)
+        edge = np.searchsorted(text, np.arange(len(block) + 1))
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            order = np.argsort(h[a:b])
+            sets.append((h[a:b][order], c[a:b][order]))
+        sigs.append(signatures(text, h, c, len(some)))
+        weight.append(np.bincount(text, c, len(some)))
+    sigs, weight = np.concatenate(sigs), np.concatenate(weight)
+    root = {unique[x][0]: unique[x][0] for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    left = np.array(sorted({place[r[1]] for r in group if r[0] == 0}))
+    out = []
+    for i in sorted({place[r[1]] for r in group if r[0] == 1}):
+        # five deviations below the threshold: a similar pair is passed over with a probability of 3 in ten millions
+        alike = (sigs[left] == sigs[i]).mean(1) >= least - 5 * np.sqrt(least * (1 - least) / sigs.shape[1])
+        near = np.minimum(weight[left], weight[i]) >= least * np.maximum(weight[left], weight[i])
+        for j in left[alike & near].tolist():
+            a, b = find(unique[nodes[i]][0]), find(unique[nodes[j]][0])
+            if a != b and overlap(sets[i], sets[j]) >= least:
+                root[a] = b
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: float = 0.8) -> DataFrame:
     """``id_col, class_id, kept`` for each row: the least id among the texts that links of similarity ``least`` or
     more lead to, and whether it is this row's.
@@ -204,32 +282,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "digest")
     contents = written(_contents(df, text_col).join(wanted, "digest").groupBy("node").agg(F.first("z").alias("z")), "minhash-contents")
 
-    links = tested = None
-    component = nodes.select("node", F.col("node").alias("component")).limit(0)
+    links, component = None, nodes.select("node", F.col("node").alias("component")).limit(0)
     for round_ in range(PIVOT_ROUNDS + 1):
-        placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "weight", "component")).alias("p")).where("x != y")
-        if round_ < PIVOT_ROUNDS:
-            pairs = placed.join(mixed_.select("band", "p"), "band").where("component != p.component")
-            pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), "weight", F.col("p.weight").alias("weight_b"))
-        else:  # all pairs of what groups still hold in different components
-            rest = placed.join(mixed_.select("band"), "band")
-            pairs = rest.alias("l").join(rest.alias("r"), F.expr("l.band = r.band and l.node < r.node and l.component != r.component")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.weight").alias("weight"), F.col("r.weight").alias("weight_b"))
-        pairs = pairs.where(F.least("weight", "weight_b") >= least * F.greatest("weight", "weight_b")).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "minhash-pairs")
-        if pairs.isEmpty():
-            if round_ < PIVOT_ROUNDS:
-                continue
+        # what groups still hold in different components; the others have nothing to add
+        placed = members.select("band", "node", "weight").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "weight", "component")).alias("p")).where("x != y")
+        members = written(placed.join(open_.select("band", "p"), "band"), "minhash-members")
+        if members.isEmpty():
             break
-        tested = pairs if tested is None else written(tested.unionByName(pairs), "minhash-tested")
-        found = written(verified(pairs, contents, n, least), "minhash-links")
+        if round_ < PIVOT_ROUNDS:
+            pairs = members.where("component != p.component").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), "weight", F.col("p.weight").alias("weight_b"))
+            pairs = pairs.where(F.least("weight", "weight_b") >= least * F.greatest("weight", "weight_b")).select("a", "b").distinct()
+            found = verified(pairs, contents, n, least)
+        else:
+            found = cross_links(members, contents, n, least)
+        found = written(found, "minhash-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
             # what is known of components is all that later rounds need of the links
-            links = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            component = connected_components(found if links is None else links.unionByName(found))
+            links = component.select(F.col("node").alias("u"), F.col("component").alias("v"))
     classes = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).select("digest", "component", "first")
     least_id = classes.groupBy("component").agg(F.min("first").alias("class_id"))
     by_digest = classes.join(least_id, "component").select("digest", "class_id", F.lit(True).alias("known"))

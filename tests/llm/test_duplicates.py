@@ -147,9 +147,11 @@ def test_near_duplicates(spark, seed):
     assert [got[i] for i in range(len(texts))] == [(c, c == i) for i, c in enumerate(want)]
 
 
-def test_near_duplicates_pairwise_rest(spark, monkeypatch):
-    """No rounds against one member: all is left to pairs."""
+@pytest.mark.parametrize("block", [1000, 3])
+def test_near_duplicates_last_round(spark, monkeypatch, block):
+    """No rounds against one member: all is left to the last one."""
     monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "CROSS_BLOCK", block)
     texts = near_copies(3)[:60]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
@@ -195,7 +197,8 @@ def test_shingles(monkeypatch):
 
 def brute_vectors(rows, least=0.95):
     good = {i for i, v in enumerate(rows) if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    links = {i: {j for j in good if j != i and len(rows[j]) == len(rows[i]) and np.dot(rows[i], rows[j]) / math.sqrt(np.dot(rows[i], rows[i]) * np.dot(rows[j], rows[j])) >= least} if i in good else set() for i in range(len(rows))}
+    unit = {i: (x := np.array(rows[i]) / np.abs(rows[i]).max()) / np.sqrt(x @ x) for i in good}
+    links = {i: {j for j in good if j != i and len(rows[j]) == len(rows[i]) and unit[i] @ unit[j] >= least} if i in good else set() for i in range(len(rows))}
     out = []
     for i in range(len(rows)):
         seen, todo = {i}, [i]
@@ -246,7 +249,9 @@ def test_recall(spark, data):
 # ---- components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [1_000_000, 20])
+def test_components(spark, monkeypatch, task_links):
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(7, 7), (3, 2), (2, 3), (9, 3), (None, 4)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)} | {2: 2, 3: 2, 9: 2}
