@@ -9,7 +9,7 @@ strings, as 128-bit sums, take the place of ranks, and a shuffle by class that o
 
 Triggers whose hash occurs once in the corpus are dropped first, by a Bloom filter of those that repeat. The strings
 that belong to one trigger start in one stretch. Stretches are compared whole; those that are left over and share a
-trigger with another stretch are compared in blocks of starts, and blocks that are left over start by start.
+trigger with another stretch are compared in blocks of starts, and what is left over in smaller ones, at last start by start.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mixed
-from .store import limit_batches, utf8, written
+from .store import limit_batches, release, utf8, written
 
 #: Bytes of one round of array operations; local places fit into PLACE_BITS bits.
 PLACE_BITS = 20
 PIECE = 1 << PLACE_BITS
-#: Starts in a block of the second comparison.
-BLOCK = 16
+#: Starts in a block of the comparisons after the first.
+STEPS = (32, 4, 1)
 #: Bits of the Bloom filter for each repeated trigger, its probes, and the largest filter that is broadcast (32 MB).
 #: Beyond that size more triggers pass than repeat; they cost time and change nothing.
 BLOOM_EACH, BLOOM_PROBES, BLOOM_MOST = 24, 4, 1 << 28
 REMEMBERED = 500_000
+#: Bytes of a text's SHA-256 that tell it from others.
+KEY = 16
 
 KIND = "array<struct<g:long,k1:long,k2:long,t:int,lo:int,hi:int>>"
 
@@ -181,7 +183,7 @@ def _candidates(df: DataFrame, text_col: str, least: int, w: int, words: np.ndar
             texts, shas = [], []
             for text in utf8(batch.column(0)):
                 if len(text) >= least:
-                    sha = hashlib.sha256(text).digest()
+                    sha = hashlib.sha256(text).digest()[:KEY]
                     if seen.get(sha, 0) < 2:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
@@ -210,19 +212,25 @@ def _candidates(df: DataFrame, text_col: str, least: int, w: int, words: np.ndar
 
 def _compared(rows: DataFrame, least: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """``g, k1, k2, sha, t, lo, hi`` -> the covered ``sha, lo, hi`` of stretches that occur more than once, and what has
-    to be compared in finer parts: one stretch of each class whose trigger also has a class that occurs once."""
-    classes = rows.groupBy("g", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sha", "t", "lo", "hi")).alias("one"))
-    classes = written(classes, "repeats-classes")
+    to be compared in finer parts: one stretch of each class whose ``g`` also has a class that occurs once."""
+    count = F.count(F.lit(1)).alias("n")
+    classes = rows.groupBy("g", "k1", "k2").agg(count) if last else rows.groupBy("g", "k1", "k2").agg(count, F.min(F.struct("sha", "t", "lo", "hi")).alias("one"))
+    if not last:
+        classes = written(classes, "repeats-classes")
     many = classes.where("n > 1").select("g", "k1", "k2")
     covered = written(rows.join(many, ["g", "k1", "k2"]).select("sha", "lo", (F.col("hi") + least).alias("hi")), "repeats-covered")
     if last:
         return covered, None
     mixed_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").select("g")
-    return covered, classes.join(mixed_, "g").select("g", "one.*")
+    open_ = written(classes.join(mixed_, "g").select("g", "one.*"), "repeats-open")
+    release(rows.sparkSession, classes)
+    return covered, open_
 
 
 def _split(open_: DataFrame, contents: DataFrame, least: int, step: int) -> DataFrame:
-    """The parts of ``step`` starts of the stretches, counted from their triggers, with sums of their bytes."""
+    """The parts of ``step`` starts of the stretches, counted from their triggers, with sums of their bytes. Parts have one
+    ``g`` if they hang on one trigger, at one distance, and have the bytes in common that all strings of such a part
+    have: without that, no string of theirs can be the same."""
     lists = open_.groupBy("sha").agg(F.collect_list(F.struct("g", "t", "lo", "hi")).alias("x")).join(contents, "sha")
 
     def run(batches):
@@ -256,12 +264,14 @@ def _parts(data, base, sha, g, t, lo, hi, least, step) -> pa.RecordBatch:
     t, a, b = t[of], np.maximum(lo[of], t[of] - block * step - step + 1), np.minimum(hi[of], t[of] - block * step)
     form = mixed((b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (t - a).astype(np.uint64))
     x, y = a - base, b - base + least
-    columns = [mixed(g[of] + mixed(block.astype(np.uint64) + np.uint64(step << 32))), mixed(sums(0, x, y) + form), mixed(sums(1, x, y) ^ form)]
+    core = t - block * step - base
+    common = sums(0, core, core - step + 1 + least)
+    columns = [mixed(g[of] + mixed(block.astype(np.uint64) + np.uint64(step << 32)) + mixed(common)), mixed(sums(0, x, y) + form), mixed(sums(1, x, y) ^ form)]
     return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array([sha] * len(of), pa.binary()), *(pa.array(c.astype(np.int32)) for c in (t, a, b))], names=["g", "k1", "k2", "sha", "t", "lo", "hi"])
 
 
 def repeated_spans(df: DataFrame, text_col: str = "text", least: int = 400) -> tuple[DataFrame, DataFrame]:
-    """``sha, spans`` of the texts (by SHA-256 of their UTF-8 bytes) with bytes in a string of ``least`` bytes that also
+    """``sha, spans`` of the texts (by the first KEY bytes of the SHA-256 of their UTF-8 bytes) with bytes in a string of ``least`` bytes that also
     starts anywhere else: sorted spans of bytes, ``[from, to)`` pairs that don't touch; and ``sha, z``, the
     zstd-compressed bytes of these texts and of some others."""
     limit_batches(df.sparkSession)
@@ -271,13 +281,18 @@ def repeated_spans(df: DataFrame, text_col: str = "text", least: int = 400) -> t
     rows = found.select("sha", F.explode("stretches").alias("s")).select("s.g", "s.k1", "s.k2", "sha", "s.t", "s.lo", "s.hi")
     contents = written(found.where(F.col("z").isNotNull()).groupBy("sha").agg(F.first("z").alias("z")), "repeats-contents")
     covered, open_ = _compared(rows, least, False)
-    parts = [covered]
-    for step in (BLOCK, 1):
+    release(df.sparkSession, found)
+    every = covered
+    steps = sorted({max(1, min(step, least // 4)) for step in STEPS}, reverse=True)
+    for step in steps:
         rows = written(_split(open_, contents, least, step), "repeats-parts")
+        release(df.sparkSession, open_)
         covered, open_ = _compared(rows, least, step == 1)
-        parts.append(covered)
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return written(_merged(every), "repeats-spans"), contents
+        release(df.sparkSession, rows)
+        every = every.unionByName(covered)
+    spans = written(_merged(every), "repeats-spans")
+    release(df.sparkSession, every)
+    return spans, contents
 
 
 def _merged(covered: DataFrame) -> DataFrame:
@@ -302,7 +317,12 @@ def _merged(covered: DataFrame) -> DataFrame:
 
 
 def _sha(text_col: str):
-    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    """SHA-256 of a text's UTF-8 bytes, in hex."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def _key(sha):
+    return F.substring(F.unhex(sha), 1, KEY)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400) -> DataFrame:
@@ -328,9 +348,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["sha", "n_removed", "n_spans", "kept"])
 
     cut = spans.join(contents, "sha").select("sha", "spans", "z").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept string")
-    rows = df.select(F.col(id_col), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), _sha(text_col).alias("sha"))
+    rows = df.select(F.col(id_col), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), _sha(text_col).alias("whole")).withColumn("sha", _key("whole"))
     zero = F.lit(0).cast("long")
-    return rows.join(cut, "sha", "left").select(F.col(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", F.lower(F.hex("sha"))).alias("kept_sha256"))
+    return rows.join(cut, "sha", "left").select(F.col(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
 def cut_texts(df: DataFrame, text_col: str = "text", least: int = 400) -> DataFrame:
@@ -339,7 +359,7 @@ def cut_texts(df: DataFrame, text_col: str = "text", least: int = 400) -> DataFr
     spans, _ = repeated_spans(df, text_col, least)
     names, schema = df.columns, df.schema
     where = names.index(text_col)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _sha(text_col).alias("sha")).join(spans, "sha", "left")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key(_sha(text_col)).alias("sha")).join(spans, "sha", "left")
 
     def run(batches):
         for batch in batches:

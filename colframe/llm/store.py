@@ -61,6 +61,15 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``written`` wrote and nothing reads any more, and has the driver collect garbage: Spark
+    deletes the shuffle files of plans that are gone then, and not before."""
+    for table in tables:
+        for folder in {posixpath.dirname(f) for f in table.inputFiles()}:
+            remove(folder)
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI; local, HDFS, S3 and GCS ones."""
     return fs.FileSystem.from_uri(uri.replace("file:///", "/").replace("file:/", "/"))
