@@ -354,24 +354,33 @@ def reduce_first_last_len(spark, d):
 # ---- joins
 
 
-def customers_suppliers(spark, d):
-    a = read(spark, d, "customer").select("c_custkey", NATION().alias("k"), "c_acctbal").where("c_custkey <= 400")
-    b = read(spark, d, "supplier").select("s_suppkey", F.when(c("s_nationkey") % 7 != 0, c("s_nationkey") + 3).alias("j"), "s_acctbal").where("s_suppkey <= 60")
+def all_customers_suppliers(spark, d):
+    a = read(spark, d, "customer").select("c_custkey", NATION().alias("k"), "c_acctbal")
+    b = read(spark, d, "supplier").select("s_suppkey", F.when(c("s_nationkey") % 7 != 0, c("s_nationkey") + 3).alias("j"), "s_acctbal")
     return a, b
 
 
+def customers_suppliers(spark, d):
+    a, b = all_customers_suppliers(spark, d)
+    return a.where("c_custkey <= 400"), b.where("s_suppkey <= 60")
+
+
 _JOIN_SQL = f"""WITH a AS (SELECT c_custkey, {NATION_SQL} AS k FROM customer WHERE c_custkey <= 400),
 b AS (SELECT s_suppkey, CASE WHEN s_nationkey % 7 <> 0 THEN s_nationkey + 3 END AS j FROM supplier WHERE s_suppkey <= 60) """
-for _type in ("inner", "left", "full", "semi", "anti"):
-    for _equal in (True, False):
-        _on = "a.k IS NOT DISTINCT FROM b.j" if _equal else "a.k = b.j"
-        _sql = _JOIN_SQL + (f"SELECT c_custkey, k FROM a WHERE {'NOT ' * (_type == 'anti')}EXISTS (SELECT 1 FROM b WHERE {_on})" if _type in ("semi", "anti") else f"SELECT c_custkey, k, s_suppkey, j FROM a {_type} JOIN b ON {_on}")
+_JOIN_WHOLE_SQL = f"""WITH a AS (SELECT c_custkey, {NATION_SQL} AS k FROM customer),
+b AS (SELECT s_suppkey, CASE WHEN s_nationkey % 7 <> 0 THEN s_nationkey + 3 END AS j FROM supplier) """
+#: The first are over subsets of ids, as their SQL says; the _whole ones are over all rows.
+for _sides, _with, _suffix in ((customers_suppliers, _JOIN_SQL, ""), (all_customers_suppliers, _JOIN_WHOLE_SQL, "_whole")):
+    for _type in ("inner", "left", "full", "semi", "anti"):
+        for _equal in (True, False):
+            _on = "a.k IS NOT DISTINCT FROM b.j" if _equal else "a.k = b.j"
+            _sql = _with + (f"SELECT c_custkey, k FROM a WHERE {'NOT ' * (_type == 'anti')}EXISTS (SELECT 1 FROM b WHERE {_on})" if _type in ("semi", "anti") else f"SELECT c_custkey, k, s_suppkey, j FROM a {_type} JOIN b ON {_on}")
 
-        def _run(spark, d, kind=_type, equal=_equal):
-            a, b = customers_suppliers(spark, d)
-            return join(a, b, lhs_keys=["k"], rhs_keys=["j"], join_type=kind, nulls_equal=equal, lhs_out_columns=["c_custkey", "k"], rhs_out_columns=None if kind not in ("semi", "anti") else None).select(*(["c_custkey", "k"] if kind in ("semi", "anti") else ["c_custkey", "k", "s_suppkey", "j"]))
+            def _run(spark, d, sides=_sides, kind=_type, equal=_equal):
+                a, b = sides(spark, d)
+                return join(a, b, lhs_keys=["k"], rhs_keys=["j"], join_type=kind, nulls_equal=equal, lhs_out_columns=["c_custkey", "k"], rhs_out_columns=None if kind not in ("semi", "anti") else None).select(*(["c_custkey", "k"] if kind in ("semi", "anti") else ["c_custkey", "k", "s_suppkey", "j"]))
 
-        named(f"join_{_type}_{'nulleq' if _equal else 'nullneq'}", _sql, _run)
+            named(f"join_{_type}_{'nulleq' if _equal else 'nullneq'}{_suffix}", _sql, _run)
 
 
 @query("SELECT l_orderkey, o_custkey, l_quantity, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -401,6 +410,13 @@ def join_suffix_coalesce(spark, d):
     return join_on(n.where("k < 15"), n.where("k > 8"), left_on=["k"], right_on=["k"], how="full")
 
 
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS v FROM customer), b AS (SELECT s_suppkey + 5 AS k, s_name AS v FROM supplier)
+SELECT coalesce(a.k, b.k) AS k, a.v AS v, b.v AS v_right FROM a FULL JOIN b ON a.k = b.k""")
+def join_suffix_coalesce_whole(spark, d):
+    a = read(spark, d, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("v"))
+    return join_on(a, read(spark, d, "supplier").select((c("s_suppkey") + 5).alias("k"), c("s_name").alias("v")), left_on=["k"], right_on=["k"], how="full")
+
+
 # ---- sort and limits
 
 def _sort_columns():
