@@ -337,6 +337,7 @@ reduced("reduce_mean", "mean", "float64", f"avg({q_})")
 reduced("reduce_min", "min", "float64", f"min(CASE WHEN NOT isnan({VAL_NAN_SQL}) THEN ({VAL_NAN_SQL}) END)", VAL_NAN)
 reduced("reduce_max", "max", "float64", f"max(CASE WHEN NOT isnan({VAL_NAN_SQL}) THEN ({VAL_NAN_SQL}) END)", VAL_NAN)
 reduced("reduce_product", "product", "float64", "product(CASE WHEN l_orderkey < 40 THEN 1 + l_discount END)", lambda: F.when(c("l_orderkey") < 40, 1 + disc()), digits=6)
+reduced("reduce_product_whole", "product", "float64", "product(1 + (l_discount - 0.05) / 1000)", lambda: 1 + (disc() - 0.05) / 1000, digits=9)
 reduced("reduce_count_valid", "count_valid", "int64", f"count({q_})")
 reduced("reduce_any", "any", "bool", f"bool_or({FLAG_A_SQL})", FLAG_A)
 reduced("reduce_all", "all", "bool", f"bool_and({FLAG_A_SQL})", FLAG_A)

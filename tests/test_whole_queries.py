@@ -50,3 +50,10 @@ def test_suffix_coalesce(spark, con):
     rows = both(spark, con, "join_suffix_coalesce_whole")
     assert sum(r["v"] is not None for r in rows) == con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
     assert sum(r["v_right"] is not None for r in rows) == con.sql("SELECT count(*) FROM supplier").fetchall()[0][0]
+
+
+def test_product(spark, con):
+    """Every row has a part in it: without the last one the product differs."""
+    [row] = both(spark, con, "reduce_product_whole")
+    less = con.sql("SELECT round(product(1 + (l_discount - 0.05) / 1000), 9) FROM (SELECT *, row_number() OVER (ORDER BY abs(l_discount - 0.05) DESC) AS i FROM lineitem) WHERE i > 1").fetchall()[0][0]
+    assert row["x"] not in (0.0, 1.0, norm(less))
