@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as s
@@ -434,12 +434,22 @@ def sorted_query(name: str, sql: str, **options) -> None:
 sorted_query("sort_multi_nulls_first", "p NULLS FIRST, o, n", nulls_at_end=False)
 sorted_query("sort_multi_nulls_last", "p NULLS LAST, o DESC, n", sort_ascending=[True, False, True])
 sorted_query("sort_desc_nulls_last", "p DESC NULLS LAST, o, n LIMIT 500", sort_ascending=[False, True, True], limit=500)
+sorted_query("sort_desc_nulls_last_whole", "p DESC NULLS LAST, o, n", sort_ascending=[False, True, True])
 sorted_query("topk", "p NULLS FIRST, o, n LIMIT 50", nulls_at_end=False, limit=50)
 named("tail", f"SELECT * FROM ({_SORT} ORDER BY p DESC NULLS FIRST, o DESC, n DESC LIMIT 50)", lambda spark, d: sort(items(spark, d).select(*_sort_columns()), ["p", "o", "n"], limit=-50))
 named("sort_slice", f"{_SORT} ORDER BY p NULLS LAST, o, n LIMIT 20 OFFSET 100", lambda spark, d: sorted_slice(items(spark, d).select(*_sort_columns()), ["p", "o", "n"], 100, 20))
 named("sort_slice_tail", f"SELECT * FROM (SELECT * FROM ({_SORT} ORDER BY p DESC NULLS FIRST, o DESC, n DESC LIMIT 30) ORDER BY p NULLS LAST, o, n LIMIT 10)", lambda spark, d: sorted_slice(items(spark, d).select(*_sort_columns()), ["p", "o", "n"], -30, 10))
 named("sort_stable", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag", lambda spark, d: sort(items(spark, d), ["l_returnflag"], stable=True).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")))
 
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY r) AS place
+FROM (SELECT *, row_number() OVER () AS r FROM lineitem)""")
+def sort_stable_whole(spark, d):
+    rows = sort(items(spark, d).select("l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], stable=True)
+    ties = Window.partitionBy("l_returnflag").orderBy("at")
+    return rows.withColumn("at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(ties)).drop("at")
+
+
 # ---- sets
 
 

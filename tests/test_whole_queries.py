@@ -57,3 +57,19 @@ def test_product(spark, con):
     [row] = both(spark, con, "reduce_product_whole")
     less = con.sql("SELECT round(product(1 + (l_discount - 0.05) / 1000), 9) FROM (SELECT *, row_number() OVER (ORDER BY abs(l_discount - 0.05) DESC) AS i FROM lineitem) WHERE i > 1").fetchall()[0][0]
     assert row["x"] not in (0.0, 1.0, norm(less))
+
+
+def test_sort_desc_nulls_last(spark, con):
+    """All rows, the nulls behind the others."""
+    both(spark, con, "sort_desc_nulls_last_whole")
+    got = [tuple(r) for r in queries.queries()["sort_desc_nulls_last_whole"](spark, DATA).select("p", "o", "n").collect()]
+    assert len(got) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    assert got == sorted(got, key=lambda r: (r[0] is None, -(r[0] or 0), r[1], r[2])) and got[-1][0] is None
+
+
+def test_sort_stable(spark, con):
+    """All rows, ties in the order in which they are read."""
+    rows = both(spark, con, "sort_stable_whole")
+    assert len(rows) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    got = [tuple(r) for r in queries.queries()["sort_stable_whole"](spark, DATA).select("l_returnflag", "place").collect()]
+    assert got == sorted(got)
