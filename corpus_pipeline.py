@@ -21,16 +21,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class; of rows that share id and text, one."""
+    """Keeps one row of each class: that of the least id, nulls last, and of rows that share it any one. Rows have keys
+    of their own, so ids may be null or repeat. Texts without words are no copies of others; of such rows that share id
+    and text, one stays."""
     docs = docs.select(COLUMNS)
-    classes = written(minhash.near_duplicates(docs), "classes")
-    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    twice = written(classes.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice")), "classes-twice")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("twice")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id").eqNullSafe(F.col("twice")), "left_anti").unionByName(again)
+    worded = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+    rows = written(docs.where(worded).withColumn("row", F.monotonically_increasing_id()), "rows")
+    classes = written(minhash.near_duplicates(rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("key"), "text"), "key"), "classes")
+    kept = rows.join(classes.where(~F.col("kept")).select("key.row"), "row", "left_anti").select(COLUMNS)
+    return kept.unionByName(docs.where(~worded).dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
