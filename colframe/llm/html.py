@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -64,7 +65,7 @@ def attribute_tokens(attrs: str) -> tuple[str, ...]:
             if value.lower() != "false":
                 out.append("hidden")
         else:
-            out += [t for t in SPLIT.split(CAMEL.sub("-", value).lower()) if len(t) > 1][:12]
+            out += [t for t in SPLIT.split(CAMEL.sub("-", value).lower()) if len(t) > 1]
     return tuple(out)
 
 
@@ -202,6 +203,7 @@ def features(root: Node, vocabulary: dict[str, int]) -> tuple[list[Node], np.nda
     width = NUMBERS + 3 * len(FLAGS) + 2 * len(vocabulary)
     out = np.zeros((len(nodes), width), np.float32)
     depth, path_flags, path_tokens, before = {id(root): 0}, {}, {}, 0
+    alike = {id(x): Counter(c.tag for c in x.children) for x in nodes if x.children}
     flag = {t: i for i, t in enumerate(FLAGS)}
     for i, x in enumerate(nodes):
         chars, links, blocks, elements, words, marks, inline, forms, _ = stats[id(x)]
@@ -220,7 +222,7 @@ def features(root: Node, vocabulary: dict[str, int]) -> tuple[list[Node], np.nda
             d, chars, links / max(1, chars), chars / max(1, elements), chars / max(1, blocks), words, marks / max(1, words),
             inline, forms, blocks, elements, x_index, len(siblings), x_index / len(siblings), chars / max(1, ps[0]),
             before / whole, chars / whole, ps[1] / max(1, ps[0]), ps[0] / max(1, ps[3]), ps[2], stats[id(siblings[x_index - 1])][0] if x_index else -1,
-            stats[id(siblings[x_index + 1])][0] if x_index + 1 < len(siblings) else -1, sum(c.tag == x.tag for c in siblings[:50]), x.text is None,
+            stats[id(siblings[x_index + 1])][0] if x_index + 1 < len(siblings) else -1, alike[id(p)][x.tag] if p is not None else 1, x.text is None,
         )
         if x.text is not None:
             before += chars
