@@ -45,13 +45,15 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(data) > len(powers):  # one endless word
         out = np.zeros(len(starts), np.uint64)
         for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            ahead = np.uint64(1)  # the power of the part's place in the word
             for c in range(a, b, PIECE):
                 part = values[data[c : min(b, c + PIECE)]]
                 with np.errstate(over="ignore"):
-                    out[i] = out[i] * powers[len(part)] + (part[::-1] * powers[: len(part)]).sum(dtype=np.uint64)
+                    out[i] += ahead * (part * powers[: len(part)]).sum(dtype=np.uint64)
+                    ahead *= powers[len(part)]
         return mixed(out), starts
     np.cumsum(values[data] * powers[: len(data)], out=total[1:])
-    # sums that grow with the place are taken back to the word's start, and reversed, so that both ways agree
+    # sums that grow with the place are taken back to the word's start, so that both ways agree
     return mixed((total[ends] - total[starts]) * inverses[starts]), starts
 
 
