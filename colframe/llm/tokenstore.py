@@ -4,7 +4,8 @@ A text's ids are cut where a rolling hash of the last ids says so, so equal pass
 stand. Encoding tasks write the chunks that they meet into staging packs, once each. Of a chunk that several tasks
 wrote, one copy is chosen, and only chosen copies go into the store's packs. Documents are recipes: lists of
 chunk digests, written in the order of their ids, with the place of their first id in the whole stream. A Merkle root
-over its chunks' digests verifies a document, and roots of whole recipe files verify the store.
+over its chunks' digests verifies a document. The manifest has one over the recipes of each file, and both are checked on
+reading.
 """
 
 from __future__ import annotations
@@ -129,21 +130,43 @@ class TokenStore:
         places = self.index.select("pack", "offset", "length", "digest").repartitionByRange("pack", "offset").sortWithinPartitions("pack", "offset")
         return places.mapInArrow(run, "digest binary, n long, crc32 long" + ", ids array<int>" * ids)
 
+    def verify(self) -> None:
+        """Raises an error if a recipe file isn't the one of the manifest, is missing, or isn't in it."""
+        limit_batches(self.spark)
+        there, known = _roots(self.recipes), self.manifest
+        odd = known.join(there.select(F.col("part").alias("part_there"), F.col("root").alias("root_there")), F.col("part") == F.col("part_there"), "full")
+        if not odd.where(~F.col("root").eqNullSafe(F.col("root_there"))).isEmpty():
+            raise ValueError("recipes aren't what the manifest says")
+
     def _parts(self, ids: bool) -> DataFrame:
         """The chunks of each document, in any order."""
         steps = self.recipes.select("row", F.posexplode_outer("chunks").alias("pos", "digest"))
         return steps.join(self.chunks(ids), "digest", "left")
 
     def documents(self) -> DataFrame:
-        """``key, start, ids``: every document put together from its chunks."""
-        parts = self._parts(True).groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-        return self.recipes.select("row", "key", "start").join(parts, "row").drop("row")
+        """``key, start, ids``: every document put together from its chunks. Verifies the manifest at once, and each
+        document's Merkle root when rows are read; a chunk that isn't in the index raises an error."""
+        self.verify()
+        parts = self._parts(True).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "ids"))).alias("parts"))
+        rows = self.recipes.select("row", "key", "start", "root").join(parts, "row")
+        rows = rows.select("key", "start", "root", F.col("parts.digest").alias("digests"), F.col("parts.ids").alias("ids"))
+
+        def run(batches):
+            for b in batches:
+                if b.column(4).flatten().null_count:
+                    raise ValueError("a chunk isn't in the index")
+                for root, digests in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    if merkle_root(digests) != root:
+                        raise ValueError("a document isn't what its recipe says")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], names=["key", "start", "ids"])
+
+        schema = T.StructType([T.StructField("key", self.key), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.ArrayType(T.IntegerType())))])
+        return rows.mapInArrow(run, schema).select("key", "start", F.flatten("ids").alias("ids"))
 
     def checksums(self) -> DataFrame:
         """``key, start, n_tokens, ids_crc32``: from the chunks' own sums, which combine to their document's; ids
-        aren't moved, and a common chunk is read once. A document whose chunks don't have its recipe's Merkle root
-        raises an error."""
-        limit_batches(self.spark)
+        aren't moved, and a common chunk is read once. Verifies as ``documents`` does."""
+        self.verify()
         parts = self._parts(False).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "n", "crc32"))).alias("parts"))
         rows = self.recipes.select("row", "key", "start", "root").join(parts, "row").select("key", "start", "root", F.col("parts.digest"), F.col("parts.n"), F.col("parts.crc32"))
         schema = T.StructType([T.StructField("key", self.key), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))])
@@ -154,6 +177,8 @@ class TokenStore:
                 for root, digests, ns, crcs in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
                     if merkle_root(digests) != root:
                         raise ValueError("a document isn't what its recipe says")
+                    if None in ns:
+                        raise ValueError("a chunk isn't in the index")
                     total, crc = 0, 0
                     for n, c in zip(ns, crcs, strict=True):
                         crc, total = crc_combined(crc, c, 4 * n), total + n
@@ -164,6 +189,22 @@ class TokenStore:
         return rows.mapInArrow(run, schema)
 
 
+def _roots(recipes: DataFrame) -> DataFrame:
+    """``part, documents, n_tokens, root`` of each recipe file: the Merkle root over its recipes in their order, each as
+    its row, key, start, number of tokens and root."""
+    held = F.when(F.col("key").isNotNull(), F.lit("k")).otherwise(F.lit(""))
+    named = F.concat_ws(" ", "row", "start", "n_tokens", held, F.coalesce(F.col("key").cast("string"), F.lit("")))
+    leaf = F.unhex(F.sha2(F.concat(F.col("root"), named.cast("binary")), 256))
+    parts = recipes.select("part", "row", "n_tokens", leaf.alias("leaf")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("row", "leaf"))).alias("x"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"))
+
+    def run(batches):
+        for b in batches:
+            roots = [merkle_root(x) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(roots, pa.binary())], names=["part", "documents", "n_tokens", "root"])
+
+    return parts.select("part", "documents", "n_tokens", F.col("x.leaf")).mapInArrow(run, "part int, documents long, n_tokens long, root binary")
+
+
 def _times(a: int, b: int) -> int:
     """Product of two polynomials over GF(2) modulo the CRC-32 polynomial, bits reversed."""
     out = 0
@@ -279,8 +320,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "
     recipes = ranges.withColumn("within", within).join(F.broadcast(before), "part")
     recipes.select("row", "part", "key", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "root", "chunks").sortWithinPartitions("row").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     store = TokenStore(spark, folder, width, key)
-    roots = store.recipes.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("row", "root"))).alias("x"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"))
-    roots.select("part", "documents", "n_tokens", F.sha2(F.concat(F.lit(b"\1"), F.array_join(F.transform("x", lambda r: F.hex(r["root"])), "").cast("binary")), 256).alias("root")).write.parquet(f"{folder}/manifest")
+    _roots(store.recipes).write.parquet(f"{folder}/manifest")
     for name in ("staging", "staged", "ranges"):
         remove(f"{folder}/{name}")
     return store
