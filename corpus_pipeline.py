@@ -10,7 +10,8 @@ from colframe.llm.queries import tokenizer_file
 from colframe.llm.store import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a repeated string: a passage of more than 50 words is longer than that.
+#: Bytes of a repeated string. A passage of more than 50 words of prose is longer than that; one of very short words, from
+#: 101 bytes on, may be shorter, and stays then.
 REPEATED_BYTES = 200
 
 
@@ -33,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings that occur more than once out of all texts; a text of which nothing is left goes."""
+    """Cuts strings of REPEATED_BYTES bytes that occur more than once out of all texts; a text of which nothing is left
+    goes. Shorter strings stay, however many words they have."""
     cut = repeats.cut_texts(docs.select(COLUMNS), least=REPEATED_BYTES)
     return cut.where(F.coalesce(F.length("text"), F.lit(0)) > 0).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
