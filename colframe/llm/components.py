@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import limit_batches, written
+from .store import limit_batches, release, written
 
 #: Links that a task takes at first; some 100 bytes of memory each.
 TASK_LINKS = 1_000_000
@@ -47,22 +47,33 @@ def connected_components(links: DataFrame) -> DataFrame:
     may repeat, point either way, or join a node to itself; null ends are left out. The number of rounds grows with the
     logarithm of the longest path."""
     limit_batches(links.sparkSession)
-    links = written(links.where("u is not null and v is not null and u != v").select("u", "v"), "links")
-    tasks = max(1, -(-links.count() // TASK_LINKS))
-    stars = written(links.coalesce(tasks).mapInArrow(_forest, "u long, v long"), "links")
+    given = written(links.where("u is not null and v is not null and u != v").select("u", "v"), "links")
+    tasks = max(1, -(-given.count() // TASK_LINKS))
+    stars = written(given.coalesce(tasks).mapInArrow(_forest, "u long, v long"), "components")
+    release(given)
     if tasks == 1:
-        return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    links, before = stars.where("u != v"), None
+        return _named(stars, stars.select(F.col("u").alias("node"), F.col("v").alias("component")))
+    links, last, before = stars.where("u != v"), stars, None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "links")
+        release(last)
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        links = written(small, "links")
+        links = last = written(small, "links")
+        release(large)
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return written(links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    out = written(links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    release(last)
+    return out
+
+
+def _named(table: DataFrame, columns: DataFrame) -> DataFrame:
+    """``columns`` of a written table, which ``release`` takes as the table."""
+    columns._colframe_folder = table._colframe_folder
+    return columns

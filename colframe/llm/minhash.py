@@ -20,17 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .shingles import mixed, shingles
-from .store import limit_batches, utf8, written
+from .store import Beside, limit_batches, numbered, release, utf8, written
 
 #: A pair of similarity 0.8 shares none of 24 bands of 4 registers with a probability of 3 in a million.
 BANDS, ROWS = 24, 4
 #: Rounds of verifying against one member of each group, before components are compared with each other.
 PIVOT_ROUNDS = 2
-#: Nodes of a block in the last round.
-CROSS_BLOCK = 1000
+#: Nodes of a block in the last round; a task compares two blocks.
+CROSS_BLOCK = 256
 #: Texts, in bytes, whose signatures are made at once.
 BLOCK = 2 << 20
 
@@ -117,16 +118,13 @@ def _blocks(texts: list[bytes]):
         yield block
 
 
-def _signed(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``key, digest, weight, bands`` of each row; a text without words has null bands."""
-    schema = df.select(F.col(id_col).alias("key")).schema.add("digest", "binary").add("weight", "long")
-    from pyspark.sql import types as T
-
-    schema = schema.add("bands", T.ArrayType(T.LongType()))
+def _signed(rows: DataFrame, n: int) -> DataFrame:
+    """``row, key, digest, weight, bands`` of each row; a text without words has null bands."""
+    schema = rows.select("row", "key").schema.add("digest", "binary").add("weight", "long").add("bands", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
-            texts, digests, weights, bands = utf8(batch.column(1)), [], [], []
+            texts, digests, weights, bands = utf8(batch.column(2)), [], [], []
             for block in _blocks(texts):
                 some = [texts[i] for i in block]
                 text, h, c = shingles(some, n)
@@ -135,31 +133,26 @@ def _signed(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 digests += [word_digest(t) for t in some]
                 weights += weight.tolist()
                 bands += [x if w else None for x, w in zip(hashes, weight, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "digest", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "key", "digest", "weight", "bands"])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return rows.select("row", "key", "text").mapInArrow(run, schema)
 
 
-def _contents(df: DataFrame, text_col: str) -> DataFrame:
-    """``digest, z``: texts by the digest of their words, compressed; a task gives each once."""
+def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, z``: the compressed texts of the rows whose numbers are in ``wanted``, taken where the rows are."""
+    beside = Beside(wanted.select(F.col("node").alias("row")), "minhash-wanted")
 
     def run(batches):
         import zstandard
 
-        pack, seen = zstandard.ZstdCompressor(level=1), set()
-        for batch in batches:
-            rows = []
-            for text in utf8(batch.column(0)):
-                digest = word_digest(text)
-                if digest not in seen:
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(digest)
-                    rows.append((digest, pack.compress(text)))
-            d, z = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(z, pa.binary())], names=["digest", "z"])
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch, _, lo, hi in beside.merged(batches, []):
+            found = batch.filter(pa.array(lo < hi))
+            yield pa.RecordBatch.from_arrays([found.column(0), pa.array([pack.compress(t) for t in utf8(found.column(1))], pa.binary())], names=["node", "z"])
 
-    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "digest binary, z binary")
+    out = written(rows.select("row", "text").mapInArrow(run, "node long, z binary"), "minhash-contents")
+    beside.release()
+    return out
 
 
 def verified(pairs: DataFrame, contents: DataFrame, n: int, least: float) -> DataFrame:
@@ -192,17 +185,26 @@ def verified(pairs: DataFrame, contents: DataFrame, n: int, least: float) -> Dat
 def cross_links(members: DataFrame, contents: DataFrame, n: int, least: float) -> DataFrame:
     """Links between components among ``band, node, component, p`` rows whose bands join different ones.
 
-    Bands chain nodes to clusters. All of a cluster but its largest component is compared with all of it, in blocks of its
-    nodes; a task gives links that join components and no others. Pairs are compared by their signatures first, and those
-    that may be similar by their multisets."""
+    Bands chain nodes to clusters. All of a cluster but its largest component is compared with all of it: blocks of the
+    former with blocks of the latter, two blocks of about CROSS_BLOCK nodes in a task at a time, so a node is sent as
+    often as the other side has blocks. A task gives links that join components and no others. Pairs are compared by their
+    signatures first, and those that may be similar by their multisets."""
     clusters = connected_components(members.select(F.col("node").alias("u"), F.col("p.node").alias("v")))
     nodes = written(members.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node"), "minhash-clusters")
     sizes = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
-    nodes = nodes.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / CROSS_BLOCK).cast("int"))
-    own = nodes.select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "node", "component")
-    few = nodes.where("component != top.component").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "component")
-    rows = own.unionByName(few).join(contents, "node").select("cluster", "block", "side", "node", "component", "z").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    sizes = written(sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")), "minhash-sizes")
+    blocks = {0: F.col("n"), 1: F.col("n") - F.col("top.n")}
+    blocks = {side: F.ceil(k / CROSS_BLOCK).cast("int") for side, k in blocks.items()}
+    placed = nodes.join(sizes, "cluster")
+
+    def dealt(side: int) -> DataFrame:
+        own = F.pmod(F.xxhash64("node"), blocks[side]).cast("int")
+        other = F.explode(F.sequence(F.lit(0), blocks[1 - side] - 1))
+        rows = placed.where("component != top.component") if side else placed.where("n > top.n")
+        rows = rows.select("cluster", own.alias("own"), other.alias("other"), F.lit(side).alias("side"), "node", "component")
+        return rows.select("cluster", F.col("other" if side else "own").alias("i"), F.col("own" if side else "other").alias("j"), "side", "node", "component")
+
+    rows = dealt(0).unionByName(dealt(1)).join(contents, "node").select("cluster", "i", "j", "side", "node", "component", "z").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def run(batches):
         import zstandard
@@ -216,18 +218,23 @@ def cross_links(members: DataFrame, contents: DataFrame, n: int, least: float) -
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
-            for cluster, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cluster, block) != key:
+            for cluster, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, i, j) != key:
                     yield flush()
-                    key, group = (cluster, block), []
+                    key, group = (cluster, i, j), []
                 group.append(row)
         yield flush()
 
-    return rows.mapInArrow(run, "a long, b long")
+    found = written(rows.mapInArrow(run, "a long, b long"), "minhash-links")
+    release(nodes, sizes, clusters)
+    return found
 
 
 def _cross(group: list, unpack, n: int, least: float) -> list[tuple[int, int]]:
-    """Links between components of ``side, node, component, z`` rows, from side 1 to side 0, a spanning set of them."""
+    """Links between components of ``side, node, component, z`` rows, from side 1 to side 0, a spanning set of them. The
+    rows are those of two blocks."""
+    if not any(r[0] == 0 for r in group) or not any(r[0] == 1 for r in group):
+        return []
     unique = {node: (component, z) for _, node, component, z in group}
     nodes = list(unique)
     place = {x: i for i, x in enumerate(nodes)}
@@ -265,45 +272,62 @@ def _cross(group: list, unpack, n: int, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: float = 0.8) -> DataFrame:
-    """``id_col, class_id, kept`` for each row: the least id among the texts that links of similarity ``least`` or
-    more lead to, and whether it is this row's.
+def classes(rows: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
+    """``row, key, best`` of each of the ``row, key, text`` rows that ``numbered`` wrote: ``best`` holds the least key, nulls
+    last, and then the least row (``last, key, row``) among the texts that links of similarity ``least`` or more lead to.
 
-    Texts without words link with nothing, each being its own class. Rows of one id and equal words are one document.
-    A null id is never the least one of a class that has another. An empty table gives an empty result."""
-    spark = df.sparkSession
-    limit_batches(spark)
-    signed = written(_signed(df, id_col, text_col, n), "minhash-signed")
-    nodes = signed.where(F.col("bands").isNotNull()).groupBy("digest").agg(F.min("key").alias("first"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    Texts without words link with nothing, each row being its own class. Texts of equal words are one node."""
+    limit_batches(rows.sparkSession)
+    signed = written(_signed(rows, n), "minhash-signed")
+    own = F.struct(F.col("key").isNull().alias("last"), "key", "row")
+    nodes = signed.where(F.col("bands").isNotNull()).groupBy("digest").agg(F.min("row").alias("node"), F.min(own).alias("first"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    nodes = written(nodes, "minhash-nodes")
     in_bands = nodes.select("node", "weight", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = written(in_bands.join(shared, "band"), "minhash-members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "digest")
-    contents = written(_contents(df, text_col).join(wanted, "digest").groupBy("node").agg(F.first("z").alias("z")), "minhash-contents")
+    contents = _contents(rows, members.select("node").distinct())
 
-    links, component = None, nodes.select("node", F.col("node").alias("component")).limit(0)
+    links, component, no_component = None, None, nodes.select("node", F.col("node").alias("component")).limit(0)
     for round_ in range(PIVOT_ROUNDS + 1):
         # what groups still hold in different components; the others have nothing to add
-        placed = members.select("band", "node", "weight").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = members.select("band", "node", "weight").join(no_component if component is None else component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "weight", "component")).alias("p")).where("x != y")
-        members = written(placed.join(open_.select("band", "p"), "band"), "minhash-members")
+        open_ = written(open_.select("band", "p"), "minhash-open")  # a table of its own, so that Spark can split a band of many nodes
+        left = written(placed.join(open_, "band"), "minhash-members")
+        release(members, open_)
+        members = left
         if members.isEmpty():
             break
         if round_ < PIVOT_ROUNDS:
             pairs = members.where("component != p.component").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), "weight", F.col("p.weight").alias("weight_b"))
             pairs = pairs.where(F.least("weight", "weight_b") >= least * F.greatest("weight", "weight_b")).select("a", "b").distinct()
-            found = verified(pairs, contents, n, least)
+            found = written(verified(pairs, contents, n, least), "minhash-links")
         else:
             found = cross_links(members, contents, n, least)
-        found = written(found, "minhash-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not found.isEmpty():
             # what is known of components is all that later rounds need of the links
-            component = connected_components(found if links is None else links.unionByName(found))
+            new = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            before, component = component, connected_components(new if links is None else links.unionByName(new))
             links = component.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    classes = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).select("digest", "component", "first")
-    least_id = classes.groupBy("component").agg(F.min("first").alias("class_id"))
-    by_digest = classes.join(least_id, "component").select("digest", "class_id", F.lit(True).alias("known"))
-    out = signed.select("key", "digest").join(by_digest, "digest", "left")
-    class_id = F.when(F.col("known"), F.col("class_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(id_col), class_id.alias("class_id")).withColumn("kept", F.col("class_id").eqNullSafe(F.col(id_col)))
+            release(before)
+        release(found)
+    release(members, contents)
+    known = nodes.join(no_component if component is None else component, "node", "left").withColumn("component", F.coalesce("component", "node")).select("digest", "component", "first")
+    best = known.groupBy("component").agg(F.min("first").alias("best"))
+    by_digest = written(known.join(best, "component").select("digest", "best"), "minhash-classes")
+    out = signed.select("row", "key", "digest").join(by_digest, "digest", "left")
+    out = written(out.select("row", "key", F.coalesce("best", own).alias("best")), "minhash-rows")
+    release(signed, nodes, component, by_digest)
+    return out
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: float = 0.8) -> DataFrame:
+    """``id_col, class_id, kept`` for each row: the least id among the texts that links of similarity ``least`` or
+    more lead to, and whether it is this row's.
+
+    Texts without words link with nothing, each being its own class. Rows of one id and equal words are one document.
+    A null id is never the least one of a class that has another. An empty table gives an empty result."""
+    rows = numbered(df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")), "minhash-texts")
+    out = classes(rows, n, least)
+    release(rows)
+    return out.select(F.col("key").alias(id_col), F.col("best.key").alias("class_id")).withColumn("kept", F.col("class_id").eqNullSafe(F.col(id_col)))

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import posixpath
 import shutil
 import tempfile
 import uuid
 import zipfile
+from bisect import bisect_left
 from pathlib import Path
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Bytes and rows that one Arrow batch hands to Python at most.
+#: Bytes and rows that one Arrow batch hands to Python at most, and Spark's own settings of both.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_SETTINGS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(BATCH_BYTES)))
+#: Spark deletes the shuffle files of a statement at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a row group of facts.
+FACT_BYTES = 1 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,19 +43,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for Python workers that share an executor's memory."""
+    """Keep Arrow batches small enough for Python workers that share an executor's memory. What operators return is
+    planned later, so the limits stay in the session; one that has limits of its own keeps them."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, usual, ours in BATCH_SETTINGS:
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, ours)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """One setting of the session, put back at the end."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a temporary one if all tasks run on this machine, as
+    in tests; an error on a cluster, whose executors wouldn't see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_colframe_root", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + (made := tempfile.mkdtemp(prefix="colframe-shared-"))
         atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext._colframe_root = root
     return root if "://" in root or root.startswith("file:") else "file://" + posixpath.abspath(root)
 
 
@@ -53,21 +84,115 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/colframe-{label}-{uuid.uuid4().hex}"
 
 
+def save(df: DataFrame, folder: str, codec: str = "zstd", **options: str) -> None:
+    """``df`` as Parquet in ``folder``; its shuffle files go at once."""
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.write.options(compression=codec, **options).parquet(folder)
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read from there: its lineage ends here."""
     spark = df.sparkSession
     folder = new_folder(spark, label)
-    df.write.option("compression", codec).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    save(df, folder, codec)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table._colframe_folder = folder
+    return table
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that ``written`` wrote and nothing reads any more, and has the driver collect garbage: Spark
-    deletes the shuffle files of plans that are gone then, and not before."""
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` wrote and nothing reads any more."""
     for table in tables:
-        for folder in {posixpath.dirname(f) for f in table.inputFiles()}:
-            remove(folder)
-    spark.sparkContext._jvm.System.gc()
+        if table is not None:
+            remove(table._colframe_folder)
+
+
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written with a number ``row`` of each row, which ascend within a file."""
+    return written(df.withColumn("row", F.monotonically_increasing_id()), label)
+
+
+class Beside:
+    """Facts about rows that ``numbered`` has numbered, in files sorted by number. Tasks that read those rows read the facts
+    of their own rows from here, so a long text needn't move to meet what is known of it.
+
+    The driver holds a line for each file, of which there are as many as shuffle partitions at most; a task holds a few row
+    groups of FACT_BYTES."""
+
+    def __init__(self, facts: DataFrame, label: str):
+        spark = facts.sparkSession
+        self.folder, self.schema = new_folder(spark, label), facts.schema
+        once = written(facts, label)  # the ranges are found in a pass of its own
+        save(once.repartitionByRange("row").sortWithinPartitions("row"), self.folder, **{"parquet.block.size": str(FACT_BYTES)})
+        release(once)
+        found = spark.read.schema(self.schema).parquet(self.folder).groupBy(F.input_file_name().alias("file")).agg(F.min("row").alias("a"), F.max("row").alias("b")).collect()
+        self.files = sorted((r.a, r.b, unquote(r.file)) for r in found)
+
+    def release(self) -> None:
+        remove(self.folder)
+
+    def merged(self, batches, columns: list[str]):
+        """Parts of the batches, whose first column is ``row``, each with its facts: those columns as one table in the order of the rows,
+        and where each row's begin, and after the last, end."""
+        reader = _Facts(self.files, ["row", *columns])
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            jump = np.flatnonzero((np.diff(row) < 0) | (np.diff(row >> 33) != 0)) + 1
+            for a, b in zip([0, *jump.tolist()], [*jump.tolist(), len(row)], strict=True):
+                if b > a:
+                    facts, numbers = reader.between(int(row[a]), int(row[b - 1]))
+                    lo, hi = np.searchsorted(numbers, row[a:b]), np.searchsorted(numbers, row[a:b], "right")
+                    yield batch.slice(a, b - a), facts, lo, hi
+
+
+class _Facts:
+    """The rows of sorted files, a few row groups in memory at a time."""
+
+    def __init__(self, files: list[tuple[int, int, str]], columns: list[str]):
+        self.files, self.columns, self.at, self.open, self.groups = files, columns, None, None, {}
+
+    def _group(self, k: int, i: int) -> pa.Table:
+        if (k, i) not in self.groups:
+            if len(self.groups) >= 4:
+                self.groups.pop(next(iter(self.groups)))
+            table = self.open.read_row_group(i, columns=self.columns)
+            self.groups[k, i] = table.column("row").to_numpy(), table
+        return self.groups[k, i]
+
+    def between(self, a: int, b: int) -> tuple[pa.Table | None, np.ndarray]:
+        tables, numbers = [], []
+        k = bisect_left(self.files, a, key=lambda f: f[1])
+        while k < len(self.files) and self.files[k][0] <= b:
+            if self.at != k:
+                system, path = open_fs(self.files[k][2])
+                self.at, self.open = k, pq.ParquetFile(system.open_input_file(path))
+                head = self.open.metadata
+                where = [head.schema.column(c).path for c in range(head.num_columns)].index("row")
+                self.ends = [(x.min, x.max) for i in range(head.num_row_groups) if (x := head.row_group(i).column(where).statistics)]
+            for i, (low, high) in enumerate(self.ends):
+                if high >= a and low <= b:
+                    own, table = self._group(k, i)
+                    part = slice(int(np.searchsorted(own, a)), int(np.searchsorted(own, b, "right")))
+                    tables.append(table.slice(part.start, part.stop - part.start))
+                    numbers.append(own[part])
+            k += 1
+        if not tables:
+            return None, np.zeros(0, np.int64)
+        return pa.concat_tables(tables), np.concatenate(numbers)
+
+
+def without(rows: DataFrame, gone: DataFrame, label: str = "gone") -> DataFrame:
+    """The rows that ``numbered`` wrote, without those whose ``row`` is in ``gone``; they stay where they are."""
+    spark, names = rows.sparkSession, rows.columns
+    limit_batches(spark)
+    beside = Beside(gone.select("row").distinct(), label)
+
+    def run(batches):
+        for batch, _, lo, hi in beside.merged(batches, []):
+            yield batch.filter(pa.array(lo == hi))
+
+    first = rows.select("row", *[f"`{c}`" for c in names if c != "row"])
+    return first.mapInArrow(run, first.schema).select(*[f"`{c}`" for c in names])
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
