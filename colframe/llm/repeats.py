@@ -2,14 +2,18 @@
 
 A rolling hash over ``w`` bytes triggers phrases: a place is a trigger if its hash is the least of some stretch of
 places as long as a string of ``least`` bytes has. So every such string holds a trigger, at a place that its own bytes
-decide: its occurrences are parsed alike, whatever stands around them. The dictionary is the phrases with their
-context, the parse is the triggers of each text, and a string's place in the corpus order follows from its trigger and
-its distance to it. Only equality within the first ``least`` bytes of that order matters here, so classes of equal
-strings, as 128-bit sums, take the place of ranks, and a shuffle by class that of a suffix array's sort; see the README.
-
-Triggers whose hash occurs once in the corpus are dropped first, by a Bloom filter of those that repeat. The strings
-that belong to one trigger start in one stretch. Stretches are compared whole; those that are left over and share a
-trigger with another stretch are compared in blocks of starts, and what is left over in smaller ones, at last start by start.
+decide: its occurrences are parsed alike, whatever stands around them. The strings that belong to one trigger start in one
+stretch; a phrase is a stretch with all bytes of its strings. The dictionary is the distinct phrases; what it holds of a phrase
+that occurs more than once is repeated. Other phrases can share strings only with phrases of the same trigger, so the triggers
+part the dictionary into shares, and each share is put into corpus order by the suffix arrays of its own dictionary and parse
+(``suffixes``). Neighbours in that order that agree in ``least`` bytes are repeated.
+
+A trigger with very many distinct phrases (boilerplate that all kinds of text surround) is split first: its phrases are cut
+into blocks of starts, which share a finer trigger only if the bytes agree that all strings of a block have in common; equal blocks are one
+entry again, and only triggers that still have many are cut into smaller blocks, at last start by start, when counts alone decide.
+
+Texts stay where they were numbered and written; what is known of them (copies, repeated triggers, spans) is sorted by
+number and read beside them.
 """
 
 from __future__ import annotations
@@ -22,22 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import suffixes
 from .shingles import mixed
-from .store import limit_batches, release, utf8, written
+from .store import Beside, limit_batches, numbered, release, utf8, written
 
 #: Bytes of one round of array operations; local places fit into PLACE_BITS bits.
 PLACE_BITS = 20
 PIECE = 1 << PLACE_BITS
-#: Starts in a block of the comparisons after the first.
-STEPS = (32, 4, 1)
-#: Bits of the Bloom filter for each repeated trigger, its probes, and the largest filter that is broadcast (32 MB).
-#: Beyond that size more triggers pass than repeat; they cost time and change nothing.
-BLOOM_EACH, BLOOM_PROBES, BLOOM_MOST = 24, 4, 1 << 28
-REMEMBERED = 500_000
-#: Bytes of a text's SHA-256 that tell it from others.
-KEY = 16
+#: Distinct phrases of a trigger that are ordered in one task; one with more is split into blocks of so many starts.
+PHRASES, STEPS = 256, (32, 4, 1)
+#: Bytes of phrases whose suffixes are ordered at once.
+SHARE = 2 << 20
 
-KIND = "array<struct<g:long,k1:long,k2:long,t:int,lo:int,hi:int>>"
+SPANS = "array<struct<lo:int,hi:int>>"
 
 
 @lru_cache(maxsize=1)
@@ -124,138 +125,116 @@ def stretches(group, least: int, w: int, full: bool):
     return out
 
 
-def bloom_places(g: np.ndarray, bits: int):
-    x = g.copy()
-    for k in range(BLOOM_PROBES):
-        x = mixed(x + np.uint64(k + 1))
-        yield (x & np.uint64(bits - 1)).astype(np.int64)
-
-
-def bloom_filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the ``g`` column. Executors make its words; the driver gets BLOOM_MOST bits at most."""
-    n = repeated.count()
-    bits = 1 << 16
-    while bits < min(n * BLOOM_EACH, BLOOM_MOST):
-        bits *= 2
-
-    def run(batches):
-        words = np.zeros(bits >> 6, np.uint64)
-        for b in batches:
-            g = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for p in bloom_places(g, bits):
-                np.bitwise_or.at(words, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], names=["word", "bits"])
-
-    parts = repeated.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(bits >> 6, np.uint64)
-    words[parts.column("word").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
-    return words, bits
-
-
-def _bytes(df: DataFrame, text_col: str) -> DataFrame:
-    return df.select(F.col(text_col).cast("string"))
+def _copies(rows: DataFrame, least: int) -> DataFrame:
+    """``row, one, n_bytes`` of the texts of ``least`` bytes or more that are in the table more than once; ``one`` is the first of them."""
+    text = F.col("text").cast("binary")
+    keys = rows.where(F.octet_length("text") >= least).select("row", F.octet_length("text").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    keys = written(keys, "repeats-keys")
+    many = written(keys.groupBy("sha").agg(F.min("row").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "one"), "repeats-copied")
+    out = written(keys.join(many, "sha").select("row", "one", "n_bytes"), "repeats-copies")
+    release(keys, many)
+    return out
 
 
-def repeated_triggers(df: DataFrame, text_col: str, least: int, w: int) -> DataFrame:
-    """``g`` of the triggers that occur more than once."""
+def _triggers(rows: DataFrame, copies: Beside, least: int, w: int) -> DataFrame:
+    """``row, g, n``: the triggers of each text, of copies those of the first, and whether they are there once (1) or more often (2)."""
 
     def run(batches):
-        for batch in batches:
-            found = [s[4] for group in pieces(utf8(batch.column(0)), least) if (s := stretches(group, least, w, False))]
-            g, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.minimum(n, 2))], names=["g", "n"])
+        for batch, _, lo, hi in copies.merged(batches, []):
+            batch = batch.filter(pa.array(lo == hi))
+            texts, numbers = utf8(batch.column(1)), batch.column(0).to_numpy()
+            for group in pieces(texts, least):
+                s = stretches(group, least, w, False)
+                if s is not None:
+                    row = numbers[np.array([i for i, _, _ in group])[s[0]]]
+                    order = np.lexsort((s[4], row))
+                    row, g = row[order], s[4][order]
+                    new = np.append(True, (row[1:] != row[:-1]) | (g[1:] != g[:-1]))
+                    n = np.diff(np.append(np.flatnonzero(new), len(row)))
+                    yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(g[new].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["row", "g", "n"])
 
-    return _bytes(df, text_col).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    return rows.select("row", "text").mapInArrow(run, "row long, g long, n byte")
 
 
-def _candidates(df: DataFrame, text_col: str, least: int, w: int, words: np.ndarray, bits: int) -> DataFrame:
-    """``sha, stretches, z`` of texts that hold a repeated trigger; a task gives a text twice at most, the second time
-    without its bytes."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
+def _stretches(rows: DataFrame, hits: Beside, least: int, w: int) -> DataFrame:
+    """``row, g, k1, k2, t, lo, hi``: the stretches of each text whose triggers ``hits`` has beside it."""
 
     def run(batches):
-        import zstandard
-
-        pack, seen, filter_ = zstandard.ZstdCompressor(level=1), {}, shared.value
-        kind = pa.list_(pa.struct([*((n, pa.int64()) for n in ("g", "k1", "k2")), *((n, pa.int32()) for n in ("t", "lo", "hi"))]))
-        for batch in batches:
-            texts, shas = [], []
-            for text in utf8(batch.column(0)):
-                if len(text) >= least:
-                    sha = hashlib.sha256(text).digest()[:KEY]
-                    if seen.get(sha, 0) < 2:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen[sha] = seen.get(sha, 0) + 1
-                        texts.append(text)
-                        shas.append((sha, seen[sha] == 1))
-            rows: dict[int, list] = {}
+        names = ["row", "g", "k1", "k2", "t", "lo", "hi"]
+        for batch, facts, lo, hi in hits.merged(batches, ["g"]):
+            batch = batch.filter(pa.array(lo < hi))
+            if not len(batch):
+                continue
+            texts, numbers = utf8(batch.column(1)), batch.column(0).to_numpy()
+            known = facts.column("g").to_numpy().view(np.uint64)
+            spans = list(zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True))
             for group in pieces(texts, least):
                 s = stretches(group, least, w, True)
                 if s is None:
                     continue
-                hit = np.ones(len(s[4]), bool)
-                for p in bloom_places(s[4], bits):
-                    hit &= (filter_[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-                piece, t, lo, hi, g, k1, k2 = (x[hit] for x in s)
-                offsets = np.array([o for _, o, _ in group]) - np.cumsum([0, *(len(p) for _, _, p in group)])[:-1]
-                t, lo, hi = t + offsets[piece], lo + offsets[piece], hi + offsets[piece]
-                which = np.array([i for i, _, _ in group])[piece]
-                columns = [x.view(np.int64).tolist() for x in (g, k1, k2)] + [x.tolist() for x in (t, lo, hi)]
-                for i, *x in zip(which.tolist(), *columns, strict=True):
-                    rows.setdefault(i, []).append(dict(zip(("g", "k1", "k2", "t", "lo", "hi"), x, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([shas[i][0] for i in rows], pa.binary()), pa.array(list(rows.values()), kind), pa.array([pack.compress(texts[i]) if shas[i][1] else None for i in rows], pa.binary())], names=["sha", "stretches", "z"])
+                piece, t, a, b, g, k1, k2 = s
+                of = np.array([i for i, _, _ in group])
+                hit, edge = np.zeros(len(g), bool), np.searchsorted(piece, np.arange(len(group) + 1))
+                for p, i in enumerate(of.tolist()):
+                    own = slice(edge[p], edge[p + 1])
+                    hit[own] = np.isin(g[own], known[slice(*spans[i])])
+                piece, t, a, b, g, k1, k2 = (x[hit] for x in (piece, t, a, b, g, k1, k2))
+                ahead = (np.array([o for _, o, _ in group]) - np.cumsum([0, *(len(p) for _, _, p in group)])[:-1])[piece]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[of[piece]]), *(pa.array(x.view(np.int64)) for x in (g, k1, k2)), *(pa.array((x + ahead).astype(np.int32)) for x in (t, a, b))], names=names)
 
-    return _bytes(df, text_col).mapInArrow(run, f"sha binary, stretches {KIND}, z binary")
+    return rows.select("row", "text").mapInArrow(run, "row long, g long, k1 long, k2 long, t int, lo int, hi int")
 
 
 def _compared(rows: DataFrame, least: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """``g, k1, k2, sha, t, lo, hi`` -> the covered ``sha, lo, hi`` of stretches that occur more than once, and what has
-    to be compared in finer parts: one stretch of each class whose ``g`` also has a class that occurs once."""
+    """``row, g, k1, k2, t, lo, hi`` -> the covered ``row, lo, hi`` of stretches that occur more than once, and what has
+    to be compared in finer parts: one stretch of each class whose ``g`` also has a class that occurs once, with the
+    number of classes of that ``g``."""
     count = F.count(F.lit(1)).alias("n")
-    classes = rows.groupBy("g", "k1", "k2").agg(count) if last else rows.groupBy("g", "k1", "k2").agg(count, F.min(F.struct("sha", "t", "lo", "hi")).alias("one"))
-    if not last:
-        classes = written(classes, "repeats-classes")
-    many = classes.where("n > 1").select("g", "k1", "k2")
-    covered = written(rows.join(many, ["g", "k1", "k2"]).select("sha", "lo", (F.col("hi") + least).alias("hi")), "repeats-covered")
     if last:
-        return covered, None
-    mixed_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").select("g")
-    open_ = written(classes.join(mixed_, "g").select("g", "one.*"), "repeats-open")
-    release(rows.sparkSession, classes)
+        classes = written(rows.groupBy("g", "k1", "k2").agg(count), "repeats-classes")
+    else:
+        classes = written(rows.groupBy("g", "k1", "k2").agg(count, F.min(F.struct("row", "t", "lo", "hi")).alias("one")), "repeats-classes")
+    many = classes.where("n > 1").select("g", "k1", "k2")
+    covered = written(rows.join(many, ["g", "k1", "k2"]).select("row", "lo", (F.col("hi") + least).alias("hi")), "repeats-covered")
+    open_ = None
+    if not last:
+        # a table of its own, so that Spark can split a trigger of many classes
+        some = written(classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("n")).where("classes > 1 and n = 1").select("g", "classes"), "repeats-mixed")
+        open_ = written(classes.join(some, "g").select("g", "classes", "one.*"), "repeats-open")
+        release(some)
+    release(classes)
     return covered, open_
 
 
-def _split(open_: DataFrame, contents: DataFrame, least: int, step: int) -> DataFrame:
+def _split(rows: DataFrame, open_: Beside, least: int, step: int) -> DataFrame:
     """The parts of ``step`` starts of the stretches, counted from their triggers, with sums of their bytes. Parts have one
     ``g`` if they hang on one trigger, at one distance, and have the bytes in common that all strings of such a part
     have: without that, no string of theirs can be the same."""
-    lists = open_.groupBy("sha").agg(F.collect_list(F.struct("g", "t", "lo", "hi")).alias("x")).join(contents, "sha")
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for sha, x, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = np.frombuffer(unpack.decompress(z), np.uint8)
-                g = np.array([r["g"] for r in x], np.int64).view(np.uint64)
-                t, lo, hi = (np.array([r[k] for r in x], np.int64) for k in ("t", "lo", "hi"))
+        for batch, facts, begin, end in open_.merged(batches, ["g", "t", "lo", "hi"]):
+            held = np.flatnonzero(begin < end)
+            if not len(held):
+                continue
+            columns = [facts.column(k).to_numpy() for k in ("g", "t", "lo", "hi")]
+            texts = utf8(batch.column(1).take(pa.array(held)))
+            for i, data in zip(held.tolist(), texts, strict=True):
+                text, number = np.frombuffer(data, np.uint8), batch.column(0)[i].as_py()
+                g, t, lo, hi = (c[begin[i] : end[i]] for c in columns)
                 order = np.argsort(lo, kind="stable")
-                g, t, lo, hi = g[order], t[order], lo[order], hi[order]
+                g, t, lo, hi = g[order].view(np.uint64), t[order].astype(np.int64), lo[order].astype(np.int64), hi[order].astype(np.int64)
                 at = 0
                 while at < len(lo):  # a long text piece by piece
                     base = lo[at]
-                    n = max(1, int(np.searchsorted(hi[at:] if (np.diff(hi[at:]) >= 0).all() else np.maximum.accumulate(hi[at:]), base + PIECE - least - 1)))
+                    n = max(1, int(np.searchsorted(np.maximum.accumulate(hi[at:]), base + PIECE - least - 1)))
                     part = slice(at, at + n)
-                    yield _parts(text[base : base + PIECE], base, sha, g[part], t[part], lo[part], hi[part], least, step)
+                    yield _parts(text[base : base + PIECE], base, number, g[part], t[part], lo[part], hi[part], least, step)
                     at += n
 
-    return lists.select("sha", "x", "z").mapInArrow(run, "g long, k1 long, k2 long, sha binary, t int, lo int, hi int")
+    return rows.select("row", "text").mapInArrow(run, "row long, g long, k1 long, k2 long, t int, lo int, hi int")
 
 
-def _parts(data, base, sha, g, t, lo, hi, least, step) -> pa.RecordBatch:
+def _parts(data, base, row, g, t, lo, hi, least, step) -> pa.RecordBatch:
     sums = Sums(data)
     first, last = (t - hi) // step, (t - lo) // step
     number = last - first + 1
@@ -266,39 +245,100 @@ def _parts(data, base, sha, g, t, lo, hi, least, step) -> pa.RecordBatch:
     x, y = a - base, b - base + least
     core = t - block * step - base
     common = sums(0, core, core - step + 1 + least)
-    columns = [mixed(g[of] + mixed(block.astype(np.uint64) + np.uint64(step << 32)) + mixed(common)), mixed(sums(0, x, y) + form), mixed(sums(1, x, y) ^ form)]
-    return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array([sha] * len(of), pa.binary()), *(pa.array(c.astype(np.int32)) for c in (t, a, b))], names=["g", "k1", "k2", "sha", "t", "lo", "hi"])
-
+    columns = [np.full(len(of), row, np.int64), mixed(g[of] + mixed(block.astype(np.uint64) + np.uint64(step << 32)) + mixed(common)), mixed(sums(0, x, y) + form), mixed(sums(1, x, y) ^ form)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), *(pa.array(c.astype(np.int32)) for c in (t, a, b))], names=["row", "g", "k1", "k2", "t", "lo", "hi"])
+
+
+def _ordered(rows: DataFrame, open_: Beside, least: int) -> DataFrame:
+    """The covered ``row, lo, hi`` of the open stretches: phrases of one trigger come to one task, which puts the suffixes of
+    phrases of SHARE bytes at a time, and of one trigger at least, into corpus order."""
+
+    def phrases(batches):
+        for batch, facts, begin, end in open_.merged(batches, ["g", "lo", "hi"]):
+            held = np.flatnonzero(begin < end)
+            if not len(held):
+                continue
+            g, lo, hi = (facts.column(k).to_numpy() for k in ("g", "lo", "hi"))
+            texts = utf8(batch.column(1).take(pa.array(held)))
+            for i, text in zip(held.tolist(), texts, strict=True):
+                own = slice(begin[i], end[i])
+                strings = [text[a : b + least] for a, b in zip(lo[own].tolist(), hi[own].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(g[own]), pa.array([batch.column(0)[i].as_py()] * len(strings), pa.int64()), pa.array(lo[own]), pa.array(strings, pa.binary())], names=["g", "row", "lo", "phrase"])
+
+    def order(batches):
+        group, size, last = [], 0, None
+
+        def covered():
+            starts = np.array([len(p) - least + 1 for _, _, p in group], np.int64)
+            hit = suffixes.repeated([p for _, _, p in group], starts, least)
+            first = np.cumsum(starts) - starts
+            at = np.flatnonzero(hit)
+            of = np.searchsorted(first, at, "right") - 1
+            place = np.array([lo for _, lo, _ in group], np.int64)[of] + at - first[of]
+            new = np.append(True, (np.diff(at) != 1) | (np.diff(of) != 0))[: len(at)]
+            begins = np.flatnonzero(new)
+            ends = np.append(begins[1:], len(at))[: len(begins)] - 1
+            row = np.array([r for r, _, _ in group], np.int64)[of[begins]]
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + least).astype(np.int32))], names=["row", "lo", "hi"])
 
-def repeated_spans(df: DataFrame, text_col: str = "text", least: int = 400) -> tuple[DataFrame, DataFrame]:
-    """``sha, spans`` of the texts (by the first KEY bytes of the SHA-256 of their UTF-8 bytes) with bytes in a string of ``least`` bytes that also
-    starts anywhere else: sorted spans of bytes, ``[from, to)`` pairs that don't touch; and ``sha, z``, the
-    zstd-compressed bytes of these texts and of some others."""
-    limit_batches(df.sparkSession)
+        for batch in batches:
+            for g, *phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= SHARE and g != last:
+                    yield covered()
+                    group, size = [], 0
+                group.append(phrase)
+                size, last = size + len(phrase[2]), g
+        if group:
+            yield covered()
+
+    dealt = rows.select("row", "text").mapInArrow(phrases, "g long, row long, lo int, phrase binary").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(order, "row long, lo int, hi int")
+
+
+def repeated_spans(rows: DataFrame, least: int = 400) -> DataFrame:
+    """``row, spans`` of those of the ``row, text`` rows that ``numbered`` wrote which have bytes in a string of ``least``
+    bytes that also starts anywhere else: sorted spans of bytes that don't touch."""
+    spark = rows.sparkSession
+    limit_batches(spark)
     w = max(1, least // 2)
-    words, bits = bloom_filter(written(repeated_triggers(df, text_col, least, w), "repeats-triggers"))
-    found = written(_candidates(df, text_col, least, w, words, bits), "repeats-candidates")
-    rows = found.select("sha", F.explode("stretches").alias("s")).select("s.g", "s.k1", "s.k2", "sha", "s.t", "s.lo", "s.hi")
-    contents = written(found.where(F.col("z").isNotNull()).groupBy("sha").agg(F.first("z").alias("z")), "repeats-contents")
-    covered, open_ = _compared(rows, least, False)
-    release(df.sparkSession, found)
-    every = covered
-    steps = sorted({max(1, min(step, least // 4)) for step in STEPS}, reverse=True)
-    for step in steps:
-        rows = written(_split(open_, contents, least, step), "repeats-parts")
-        release(df.sparkSession, open_)
-        covered, open_ = _compared(rows, least, step == 1)
-        release(df.sparkSession, rows)
-        every = every.unionByName(covered)
-    spans = written(_merged(every), "repeats-spans")
-    release(df.sparkSession, every)
-    return spans, contents
+    copies = _copies(rows, least)
+    others = Beside(copies.where("row != one").select("row"), "repeats-others")
+    found = written(_triggers(rows, others, least, w), "repeats-triggers")
+    others.release()
+    shared = written(found.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "repeats-shared")
+    hits = Beside(found.join(shared, "g").select("row", "g"), "repeats-hits")
+    release(found, shared)
+    parts = written(_stretches(rows, hits, least, w), "repeats-stretches")
+    hits.release()
+    every, steps = [], sorted({max(1, min(step, least // 4)) for step in STEPS}, reverse=True)
+    for step, finer in zip([None, *steps], [*steps, None], strict=True):
+        covered, open_ = _compared(parts, least, step == 1)
+        every.append(covered)
+        release(parts)
+        if open_ is None:
+            break
+        few = Beside(open_.where(F.col("classes") <= PHRASES).select("row", "g", "lo", "hi"), "repeats-phrases")
+        every.append(written(_ordered(rows, few, least), "repeats-covered"))
+        few.release()
+        many = Beside(open_.where(F.col("classes") > PHRASES).select("row", "g", "t", "lo", "hi"), "repeats-blocks")
+        release(open_)
+        if not many.files:
+            break
+        parts = written(_split(rows, many, least, finer), "repeats-parts")
+        many.release()
+    # a copied text goes as a whole, whatever else is known of it
+    one = copies.select("row", F.lit(0).alias("lo"), F.col("n_bytes").alias("hi"))
+    union = one
+    for covered in every:
+        union = union.unionByName(covered)
+    spans = written(_merged(union), "repeats-spans")
+    release(copies, *every)
+    return spans
 
 
 def _merged(covered: DataFrame) -> DataFrame:
-    """``sha, spans``: sorted spans that don't touch, of ``sha, lo, hi`` rows that may overlap and repeat. A text's
+    """``row, spans``: sorted spans that don't touch, of ``row, lo, hi`` rows that may overlap and repeat. A text's
     rows are as many as its bytes at most."""
-    kind = "array<struct<lo:int,hi:int>>"
 
     def run(batches):
         arrow = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -311,75 +351,79 @@ def _merged(covered: DataFrame) -> DataFrame:
                 lo, reach = lo[order], np.maximum.accumulate(hi[order])
                 first = np.flatnonzero(np.append(True, lo[1:] > reach[:-1]))
                 out.append([{"lo": a, "hi": b} for a, b in zip(lo[first].tolist(), reach[np.append(first[1:], len(lo)) - 1].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow)], names=["sha", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow)], names=["row", "spans"])
+
+    return covered.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("x")).select("row", "x").mapInArrow(run, f"row long, spans {SPANS}")
 
-    return covered.groupBy("sha").agg(F.collect_set(F.struct("lo", "hi")).alias("x")).select("sha", "x").mapInArrow(run, f"sha binary, spans {kind}")
 
+def without_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    at, kept = 0, []
+    for a, b in spans:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]])
 
-def _sha(text_col: str):
-    """SHA-256 of a text's UTF-8 bytes, in hex."""
-    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
 
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of UTF-8 bytes without the characters that they cover in part."""
+    out = []
+    for a, b in spans:
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append((a, b))
+    return out
 
-def _key(sha):
-    return F.substring(F.unhex(sha), 1, KEY)
+
+def _with_spans(spans: Beside, batches, text: int):
+    """Batches, their texts as bytes, and the spans of each."""
+    for batch, facts, lo, hi in spans.merged(batches, ["spans"]):
+        column = facts.column("spans") if facts is not None else None
+        yield batch, utf8(batch.column(text)), [[(x["lo"], x["hi"]) for x in column[a].as_py()] if a < b else [] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400) -> DataFrame:
-    """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for each row: what is left of each text's UTF-8 bytes without
+    """``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` for each row: what is left of each text's UTF-8 bytes without
     all that a string of ``least`` bytes covers which also starts elsewhere in the table, in the same text or another.
+    ``kept_text`` is what is left as text; a character that was removed in part is there as a whole.
 
     All occurrences go, none is kept. Null texts are empty ones; texts shorter than ``least`` stay whole; repeated
     rows are copies of each other, whatever their ids."""
-    spans, contents = repeated_spans(df, text_col, least)
+    rows = numbered(df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")), "repeats-texts")
+    found = repeated_spans(rows.select("row", "text"), least)
+    spans = Beside(found, "repeats-spans")
+    release(found)
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            for s, z in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = unpack.decompress(z)
-                cuts = [0, *(p for x in s for p in (x["lo"], x["hi"])), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                out.append((len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
-            removed, n, sha = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["sha", "n_removed", "n_spans", "kept"])
+        for batch, texts, cuts in _with_spans(spans, batches, 2):
+            kept = [without_spans(t, c) for t, c in zip(texts, cuts, strict=True)]
+            whole = [k if not c else without_spans(t, whole_characters(t, c)) for t, c, k in zip(texts, cuts, kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
+                pa.array([len(c) for c in cuts], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(whole, pa.binary()).cast(pa.string()),
+            ], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    cut = spans.join(contents, "sha").select("sha", "spans", "z").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept string")
-    rows = df.select(F.col(id_col), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), _sha(text_col).alias("whole")).withColumn("sha", _key("whole"))
-    zero = F.lit(0).cast("long")
-    return rows.join(cut, "sha", "left").select(F.col(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    schema = rows.select("key").schema
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
+    out = rows.select("row", "key", "text").mapInArrow(run, schema.add("kept_sha256", "string").add("kept_text", "string"))
+    return out.withColumnRenamed("key", id_col)
 
 
 def cut_texts(df: DataFrame, text_col: str = "text", least: int = 400) -> DataFrame:
     """The rows of ``df`` with repeated strings removed from their texts, to whole characters: one that a span covers
     in part stays. Null stays null."""
-    spans, _ = repeated_spans(df, text_col, least)
-    names, schema = df.columns, df.schema
-    where = names.index(text_col)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key(_sha(text_col)).alias("sha")).join(spans, "sha", "left")
+    names, kind = df.columns, df.schema[text_col].dataType
+    rows = numbered(df.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col], F.lit(0).alias(text_col)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text")), "repeats-texts")
+    found = repeated_spans(rows.select("row", "text"), least)
+    spans = Beside(found, "repeats-spans")
+    release(found)
 
     def run(batches):
-        for batch in batches:
-            texts = []
-            for text, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if text is None or not s:
-                    texts.append(text)
-                    continue
-                data, kept, at = text.encode(), [], 0
-                for x in s:
-                    a, b = x["lo"], x["hi"]
-                    while a < b and data[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-                        b -= 1
-                    kept.append(data[at:a])
-                    at = b
-                texts.append(b"".join([*kept, data[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "cut"])
-
-    kind = rows.select("row").schema.add("cut", "string")
-    out = rows.select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "spans").mapInArrow(run, kind)
-    return out.select(*[F.col("cut").cast(schema[where].dataType).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
+        for batch, texts, cuts in _with_spans(spans, batches, 2):
+            out = [without_spans(t, whole_characters(t, c)) if there else None for t, c, there in zip(texts, cuts, batch.column(2).is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()).cast(pa.string())], names=["rest", "text"])
+
+    out = rows.select("row", "rest", "text").mapInArrow(run, rows.select("rest", "text").schema)
+    return out.select(*[F.col("text").cast(kind).alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names])
