@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colframe.llm import encoding, langid, minhash, mixing, repeats
 from colframe.llm.queries import tokenizer_file
-from colframe.llm.store import written
+from colframe.llm.store import numbered, release, without, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of a repeated string. A passage of more than 50 words of prose is longer than that; one of very short words, from
@@ -27,9 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     and text, one stays."""
     docs = docs.select(COLUMNS)
     worded = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
-    rows = written(docs.where(worded).withColumn("row", F.monotonically_increasing_id()), "rows")
-    classes = written(minhash.near_duplicates(rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("key"), "text"), "key"), "classes")
-    kept = rows.join(classes.where(~F.col("kept")).select("key.row"), "row", "left_anti").select(COLUMNS)
+    rows = numbered(docs.where(worded), "rows")
+    classes = minhash.classes(rows.select("row", F.col("doc_id").alias("key"), "text"))
+    kept = without(rows, classes.where("row != best.row")).select(COLUMNS)
+    release(classes)
     return kept.unionByName(docs.where(~worded).dropDuplicates(["doc_id", "text"]))
 
 
