@@ -33,7 +33,7 @@ PIVOT_ROUNDS = 2
 #: Nodes of a block in the last round; a task compares two blocks.
 CROSS_BLOCK = 256
 #: Texts, in bytes, whose signatures are made at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:

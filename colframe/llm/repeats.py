@@ -31,12 +31,12 @@ from .shingles import mixed
 from .store import Beside, limit_batches, numbered, release, utf8, written
 
 #: Bytes of one round of array operations; local places fit into PLACE_BITS bits.
-PLACE_BITS = 20
+PLACE_BITS = 18
 PIECE = 1 << PLACE_BITS
 #: Distinct phrases of a trigger that are ordered in one task; one with more is split into blocks of so many starts.
 PHRASES, STEPS = 256, (32, 4, 1)
 #: Bytes of phrases whose suffixes are ordered at once.
-SHARE = 2 << 20
+SHARE = 1 << 20
 
 SPANS = "array<struct<lo:int,hi:int>>"
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 #: Bytes that one round of array operations takes; a longer text is cut between words.
-PIECE = 1 << 21
+PIECE = 1 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows that one Arrow batch hands to Python at most, and Spark's own settings of both.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 BATCH_SETTINGS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(BATCH_BYTES)))
 #: Spark deletes the shuffle files of a statement at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
