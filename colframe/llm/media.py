@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import PartFile, limit_batches, new_folder, read_ranges, utf8
+from .store import PartFile, by_place, limit_batches, new_folder, read_ranges, save, utf8, written
 
 WIDTH = 64
 #: A tar shard is closed, and the next begun, beyond this size.
@@ -87,7 +87,7 @@ def features(samples: bytes) -> str:
 def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Stores the UTF-8 bytes of each text (null as empty), padded to a multiple of 64, and returns one row for
     each row of ``df``: ``key, n_bytes, digest, shard, offset, length``; rows with equal payloads share a place.
-    The rows are kept as Parquet beside the shards."""
+    The rows, and the place of each digest, are kept as Parquet beside the shards."""
     spark = df.sparkSession
     limit_batches(spark)
     folder = folder or new_folder(spark, "media")
@@ -123,9 +123,13 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{folder}/rows")
     rows = spark.read.schema(schema).parquet(f"{folder}/rows")
-    places = stored(rows)
-    # a common digest is in many rows but at few places: the join is on digests, and Spark splits a hot one
-    return rows.select("key", "n_bytes", "digest").join(places, "digest").select("key", "n_bytes", "digest", "shard", "offset", "length")
+    save(stored(rows), f"{folder}/places")
+    return _placed(rows, spark.read.parquet(f"{folder}/places"))
+
+
+def _placed(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with what a table has of their digests. Both are tables, so Spark can split a digest of very many rows."""
+    return rows.select("key", "n_bytes", "digest").join(facts, "digest").select("key", "n_bytes", "digest", *[c for c in facts.columns if c != "digest"])
 
 
 def stored(rows: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ def stored(rows: DataFrame) -> DataFrame:
 
 
 def _ordered(places: DataFrame) -> DataFrame:
-    return places.select("shard", "offset", "length", "digest").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    return by_place(places.select("shard", "offset", "length", "digest"), "shard")
 
 
 def _spans(batches, length=None):
@@ -189,8 +193,9 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Stores each text as an image and returns, for each row of ``df``, its id, ``n_bytes``, the place of its image
     (``shard, offset, length``), ``width, height`` from headers alone, and the features of the stored bytes. Equal
     texts have equal values; repeated rows stay; null and empty texts are 64 zero bytes."""
-    rows = write_media(df, id_col, text_col)
-    # one place for each digest again, so the images are read once however many rows share them
-    places = rows.groupBy("digest").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("length").alias("length"))
-    facts = media_features(places).join(media_metadata(places).select("digest", "width", "height"), "digest")
-    return rows.join(facts, "digest").select(F.col("key").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
+    folder = new_folder(df.sparkSession, "media")
+    write_media(df, id_col, text_col, folder)
+    places = df.sparkSession.read.parquet(f"{folder}/places")  # an image is read once, however many rows share it
+    facts = places.join(media_features(places), "digest").join(media_metadata(places).select("digest", "width", "height"), "digest")
+    rows = _placed(df.sparkSession.read.parquet(f"{folder}/rows"), written(facts, "media-facts"))
+    return rows.select(F.col("key").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")

@@ -253,6 +253,17 @@ def read_ranges(rows, gap: int = 1 << 16, most: int = 8 << 20):
         opened[1].close()
 
 
+def by_place(places: DataFrame, file: str, offset: str = "offset", length: str = "length") -> DataFrame:
+    """Ranges of files, sorted within ranges of ``file`` and ``offset``. They are dealt out by the bytes that they stand for, in
+    Spark's advisory size, and not by those of the table that names them."""
+    spark = places.sparkSession
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(size[-1], 0)
+    advised = int(size.rstrip("kmgt")) << unit
+    total = places.agg(F.sum(length)).first()[0] or 0
+    return places.repartitionByRange(max(1, -(-total // advised)), file, offset).sortWithinPartitions(file, offset)
+
+
 def remove(uri: str) -> None:
     """Delete a folder of intermediate files that nothing reads any more."""
     system, path = open_fs(uri)

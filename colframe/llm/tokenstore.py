@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .bpe import table_encoder, vocabulary
 from .media import _grouped
-from .store import PartFile, limit_batches, new_folder, read_ranges, remove
+from .store import PartFile, by_place, limit_batches, new_folder, read_ranges, release, remove, written
 
 #: A chunk ends after LEAST ids at least, where the hash of the last LOOK ids has MASK's bits clear, or at MOST ids.
 LEAST, LOOK, MASK, MOST = 128, 16, (1 << 9) - 1, 4096
@@ -127,7 +127,7 @@ class TokenStore:
         def run(batches):
             yield from _grouped((of(row, data) for row, data in read_ranges(spans(batches))), schema)
 
-        places = self.index.select("pack", "offset", "length", "digest").repartitionByRange("pack", "offset").sortWithinPartitions("pack", "offset")
+        places = by_place(self.index.select("pack", "offset", "length", "digest"), "pack")
         return places.mapInArrow(run, "digest binary, n long, crc32 long" + ", ids array<int>" * ids)
 
     def verify(self) -> None:
@@ -283,7 +283,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "
 
     # one copy of each chunk, in the order of the staging packs
     copies = staged.select("pack", F.explode("chunks").alias("c")).where("c.fresh").select("c.digest", F.struct("pack", "c.offset", "c.length", "c.n").alias("p"))
-    chosen = copies.groupBy("digest").agg(F.min("p").alias("p")).select("p.pack", "p.offset", "p.length", "digest", "p.n").repartitionByRange("pack", "offset").sortWithinPartitions("pack", "offset")
+    chosen = copies.groupBy("digest").agg(F.min("p").alias("p")).select("p.pack", "p.offset", "p.length", "digest", "p.n")
     index = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("pack", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def compact(batches):
@@ -307,7 +307,10 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "
         if out:
             out.close()
 
-    chosen.mapInArrow(compact, "digest binary, n long, pack string, offset long, length long").write.option("compression", "zstd").parquet(f"{folder}/index")
+    chosen = written(chosen, "tokens-chosen")
+    by_place(chosen, "pack").mapInArrow(compact, "digest binary, n long, pack string, offset long, length long").write.option("compression", "zstd").parquet(f"{folder}/index")
+
+    release(chosen)
 
     # recipes in the order of the ids; starts from the sums of the ranges before, and within a range
     by_key = [F.col("key").asc_nulls_first(), F.col("n_tokens"), F.col("root")]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import PartFile, limit_batches, new_folder, read_ranges, utf8, written
+from .store import PartFile, by_place, limit_batches, new_folder, read_ranges, utf8, written
 
 INDEX = T.StructType([T.StructField("key", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("url", "digest", "record_type", "file")), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
 #: Fixed values of the WARC 1.1 format: its profile of revisits, and the date that records carry when none is known.
@@ -124,7 +124,7 @@ def read_warc(index: DataFrame) -> DataFrame:
     Rows are sorted by file and offset within ranges of them, and ranges less than 64 KB apart are read at once.
     A response whose payload doesn't have its digest raises an error."""
     limit_batches(index.sparkSession)
-    spans = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spans = by_place(index.select("file", "offset", "length"), "file")
     out = "key long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
     def run(batches):
