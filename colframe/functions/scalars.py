@@ -30,6 +30,11 @@ def wrapped(x: Column, bits: int) -> Column:
     return F.pmod(wide + half, F.lit(Decimal(1 << bits)).cast("decimal(38,0)")) - half
 
 
+def narrowed(x: Column, bits: int) -> Column:
+    """A bigint wrapped around at fewer bits: the sign is that of the highest bit that stays."""
+    return F.shiftright(F.shiftleft(x, 64 - bits), 64 - bits)
+
+
 # ---- casts and rounding
 
 
@@ -50,7 +55,7 @@ def cast(x: Any, kind: Any, source: Any = None) -> Column:
             finite = F.when(F.isnan(x) | (F.abs(x) >= 1e37), F.lit(0.0)).otherwise(x)
             whole = (finite - finite % 1).cast("decimal(38,0)")
             return F.when(x.isNotNull(), wrapped(whole, INTEGER_BITS[type(to)]).cast(to))
-        return wrapped(x, INTEGER_BITS[type(to)]).cast(to)
+        return (narrowed(x.cast("long"), INTEGER_BITS[type(to)]) if is_integer(source) else wrapped(x, INTEGER_BITS[type(to)])).cast(to)
     return x.cast(to)
 
 
@@ -93,11 +98,18 @@ COMPARISONS = ("equal", "not_equal", "less", "less_equal", "greater", "greater_e
 LOGICAL = ("and", "or", "and_kleene", "or_kleene", "xor")
 BITWISE = ("bit_wise_and", "bit_wise_or", "bit_wise_xor", "shift_left", "shift_right")
 ARITHMETIC = ("add", "subtract", "multiply", "divide", "true_divide", "power", "logb", "atan2", "floor_divide", "mod")
+ELEMENT_WISE = ("max_element_wise", "min_element_wise")
+
+
+def is_nan(x: Column) -> Column:
+    """Whether a value is NaN, of a column of any type: Spark folds the test away where it isn't of floats."""
+    return F.typeof(x).isin("float", "double") & (x == F.lit("NaN"))
 
 
 def binary(lhs: Any, rhs: Any, op: str, output_type: Any = None, floats: bool = False) -> Column:
     """An operation of two columns or scalars, cast to ``output_type``. The result is null if an operand is, but for the
-    Kleene operations, which follow three-valued logic.
+    Kleene operations, which follow three-valued logic, and the element-wise maximum and minimum, which leave out null,
+    and NaN too if another value is there.
 
     Arithmetic of an integer output type wraps around on overflow, and its division truncates, by zero giving
     null; of other types it is that of doubles. ``floats`` says that compared values may be NaN, which equals nothing."""
@@ -113,6 +125,9 @@ def binary(lhs: Any, rhs: Any, op: str, output_type: Any = None, floats: bool =
             out = a | b
         else:
             out = F.when(a.isNotNull() & b.isNotNull(), a & b if op == "and" else a | b if op == "or" else a != b)
+    elif op in ELEMENT_WISE:
+        x, y = (F.when(~F.coalesce(is_nan(v), F.lit(False)), v) for v in (a, b))
+        out = F.coalesce((F.greatest if op == "max_element_wise" else F.least)(x, y), a, b)
     elif op in BITWISE:
         out = {
             "bit_wise_and": lambda: a.bitwiseAND(b), "bit_wise_or": lambda: a.bitwiseOR(b), "bit_wise_xor": lambda: a.bitwiseXOR(b),
@@ -125,7 +140,7 @@ def binary(lhs: Any, rhs: Any, op: str, output_type: Any = None, floats: bool =
         bits = INTEGER_BITS[type(to)]
         # within 64 bits nothing wide is evaluated
         out = F.coalesce(plain, wrapped(exact, 64).cast("long"))
-        out = out if bits == 64 else wrapped(out, bits)
+        out = out if bits == 64 else narrowed(out, bits)
     elif op == "divide" and to is not None and is_integer(to):
         a, b = a.cast("long"), b.cast("long")
         # the least number has no negative: it stays as it is

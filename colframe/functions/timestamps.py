@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalars import col
 
@@ -42,13 +44,34 @@ def spark_pattern(format_: str) -> str:
     return "".join(out)
 
 
-def to_timestamps(x: Any, format_: str, tz: bool = False) -> Column:
-    """Strings parsed by a strptime format; what doesn't parse is null. Two-digit years from 69 on are of the 1900s."""
-    x, pattern = col(x), spark_pattern(format_)
+#: Units of timestamp types, and what finer parts are cut to; nanoseconds are kept as microseconds.
+UNITS = {"s": "second", "ms": "millisecond", "us": None, "ns": None}
+
+
+def unit_and_zone(timestamp_type: Any) -> tuple[str, bool]:
+    """Unit of a timestamp type (of Arrow, NumPy or Spark, or a name), and whether it has a time zone; ValueError for others."""
+    if isinstance(timestamp_type, T.DataType):
+        if not isinstance(timestamp_type, (T.TimestampType, T.TimestampNTZType)):
+            raise ValueError(f"not a timestamp type: {timestamp_type!r}")
+        return "us", isinstance(timestamp_type, T.TimestampType)
+    found = re.fullmatch(r"(?:timestamp|datetime64)\[(s|ms|us|ns)(, *tz=[^\]]+)?\]", str(timestamp_type))
+    if not found:
+        raise ValueError(f"not a timestamp type: {timestamp_type!r}")
+    return found[1], bool(found[2])
+
+
+def to_timestamps(x: Any, format_: str, tz: bool = False, timestamp_type: Any = None) -> Column:
+    """Strings parsed by a strptime format; what doesn't parse is null. Two-digit years from 69 on are of the 1900s. With a
+    ``timestamp_type``, parts of a second beyond its unit are cut off."""
+    x, pattern, unit = col(x), spark_pattern(format_), None
+    if timestamp_type is not None:
+        unit, tz = unit_and_zone(timestamp_type)
     # a parse that fails is null, whatever the mode
     out = F.try_to_timestamp(x, F.lit(pattern))
     if "%y" in format_:
         out = F.when(F.year(out) >= 2069, out - F.make_ym_interval(F.lit(100))).otherwise(out)
+    if unit and UNITS[unit]:
+        out = F.date_trunc(UNITS[unit], out)
     return out if tz else out.cast("timestamp_ntz")
 
 

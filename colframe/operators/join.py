@@ -16,8 +16,9 @@ def join(lhs: DataFrame, rhs: DataFrame, *, lhs_keys: list[str], rhs_keys: list[
     """Rows whose keys are equal by position. Null keys are equal to each other, or with ``nulls_equal=False`` to nothing.
 
     The output has the columns asked for (default all) of the left side, then of the right one; all names must differ. SEMI
-    and ANTI keep left rows with and without a match and have no right columns. ``broadcast`` is AUTO, or the side
-    that is known to be small: LEFT for INNER, RIGHT for all but FULL."""
+    and ANTI keep left rows with and without a match and have no right columns. ``broadcast`` is AUTO, by which Spark broadcasts a
+    side of a known small size, or the side that the caller knows to be small, whose size isn't checked: LEFT for INNER,
+    RIGHT for all but FULL."""
     kind, broadcast = join_type.upper(), broadcast.upper()
     if kind not in TYPES or kind == "CROSS":
         raise ValueError(f"unknown join type {join_type!r}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .places import rows_from
+
 
 def _order(key: str, ascending: bool, nulls_at_end: bool) -> Column:
     c = F.col(f"`{key}`")
@@ -41,9 +43,12 @@ def sort(df: DataFrame, keys: list[str], *, sort_ascending: list[bool] | None =
 
 
 def sorted_slice(df: DataFrame, keys: list[str], offset: int, length: int | None = None, **options) -> DataFrame:
-    """``length`` rows of the sorted ones from ``offset`` on; a negative offset counts from the end."""
+    """``length`` rows of the sorted ones from ``offset`` on; a negative offset counts from the end. Without a ``length`` the sorted
+    rows are written with their places, and those from ``offset`` on read from there."""
     if offset < 0:
         out = sort(df, keys, limit=offset, **options)
         return out if length is None else sort(out, keys, limit=min(length, -offset), **options)
-    out = sort(df, keys, **options).offset(offset)
-    return out if length is None else out.limit(length)
+    rows = sort(df, keys, **options)
+    if length is None:
+        return rows_from(rows, offset) if offset else rows
+    return rows.offset(offset).limit(length)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce as fold
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import operand
+from .places import placed, rows_from
 
 
 def select(df: DataFrame, columns: list) -> DataFrame:
@@ -74,13 +75,15 @@ def distinct(df: DataFrame, keys: list[str] | None = None, high_cardinality: boo
 
 def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Rows ``start`` to ``stop`` as in Python, of the rows in the order of ``order`` (default: as they are read).
-    Negative bounds count from the end; that takes one count of the rows."""
+    Negative bounds count from the end; that takes one count of the rows. Without a ``stop`` the rows are written with
+    their places first, so that what is left of them needn't pass through one task."""
     rows = df.orderBy(*order) if order else df
     a, b = start or 0, stop
     if a < 0 or (b is not None and b < 0):
         a, b, _ = slice(start, stop).indices(df.count())
-    out = rows.offset(a) if a else rows
-    return out if b is None else out.limit(max(0, b - a))
+    if b is None:
+        return rows_from(rows, a) if a else rows
+    return (rows.offset(a) if a else rows).limit(max(0, b - a))
 
 
 def contains(df: DataFrame, needles: str, haystack: DataFrame, column: str, name: str = "contained") -> DataFrame:
@@ -96,20 +99,18 @@ def contains(df: DataFrame, needles: str, haystack: DataFrame, column: str, name
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col(f"`{needles}`").isNotNull(), F.col(mark).isNotNull()).alias(name))
 
 
-def zip_frames(a: DataFrame, b: DataFrame) -> DataFrame:
+def zip_frames(a: DataFrame, b: DataFrame, shorter: bool = False) -> DataFrame:
     """Columns of two tables side by side, by the places at which their rows are read. Names must differ.
 
-    Places are exact: a count for each partition, then a number within it. Rows beyond the shorter table are dropped."""
+    Each table is read once, and its rows written with their places. ValueError if the tables have different numbers of
+    rows, unless ``shorter`` says that those beyond the shorter one go."""
     if {*a.columns} & {*b.columns}:
         raise ValueError("names must differ")
 
-    def placed(df: DataFrame) -> DataFrame:
-        ids = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
-        sizes = ids.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-        before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each partition
-        return ids.join(F.broadcast(before), "__part").withColumn("__at", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__before")
-
-    return placed(a).join(placed(b), "__at").drop("__at")
+    (left, n), (right, m) = placed(a, "__at"), placed(b, "__at")
+    if n != m and not shorter:
+        raise ValueError(f"the tables have {n} and {m} rows")
+    return left.join(right, "__at").drop("__at")
 
 
 def metadata(df: DataFrame) -> dict:
@@ -126,4 +127,5 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b).distinct()
+    """Distinct rows of ``a`` that aren't in ``b``; nulls are equal."""
+    return a.subtract(b)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars, timestamps
 from ..operators import join as joins
 from ..operators import sort as sorts
 from ..operators import tables
+from ..sources import io
 
 
 class LazyFrame:
@@ -55,6 +57,10 @@ class LazyFrame:
             raise ValueError("only any row of equal ones is kept, in no order")
         return self._of(tables.distinct(self.df, subset))
 
+    def tail(self, n: int) -> LazyFrame:
+        """The last rows, in the order in which rows are read."""
+        return self.slice(-n, None)
+
     def cache(self) -> LazyFrame:
         return self._of(self.df.cache())
 
@@ -78,6 +84,23 @@ class GroupBy:
         return LazyFrame(self.frame.df.groupBy(*self.keys).agg(*[v.alias(k) for k, v in named.items()]))
 
 
+def scan_parquet(spark: SparkSession, files: Any, columns: list[str] | None = None, predicate: Column | None = None) -> LazyFrame:
+    """Parquet files as a lazy frame; the predicate and the choice of columns go down to the scan."""
+    frame = LazyFrame(io.parquet_read(spark, files))
+    frame = frame if predicate is None else frame.filter(predicate)
+    return frame if columns is None else LazyFrame(tables.select(frame.df, columns))
+
+
+def scan_csv(spark: SparkSession, files: Any, dtypes: list, **options: Any) -> LazyFrame:
+    """CSV files as a lazy frame, read as by ``csv_read``."""
+    return LazyFrame(io.csv_read(spark, files, dtypes=dtypes, **options))
+
+
+def from_frame(spark: SparkSession, data: Any) -> LazyFrame:
+    """An Arrow or pandas table in the driver's memory as a lazy frame."""
+    return LazyFrame(data if isinstance(data, DataFrame) else io.from_arrow(spark, data))
+
+
 def concat(*frames: LazyFrame) -> LazyFrame:
     return LazyFrame(tables.concatenate([f.df for f in frames], by_name=True))
 
@@ -90,11 +113,16 @@ def total(x: Column) -> Column:
 
 
 def least(x: Column) -> Column:
-    return F.min(F.when(~F.isnan(x), x))
+    return F.min(F.when(~scalars.is_nan(x), x))
 
 
 def greatest(x: Column) -> Column:
-    return F.max(F.when(~F.isnan(x), x))
+    return F.max(F.when(~scalars.is_nan(x), x))
+
+
+def only(x: Column, condition: Column) -> Column:
+    """The values that an aggregate sees: those of rows where the condition is true."""
+    return F.when(condition, x)
 
 
 def n_unique(x: Column) -> Column:
@@ -114,3 +142,18 @@ def length() -> Column:
     return F.count(F.lit(1))
 
 
+# components of timestamps as the lazy path has them: parts of the second add up
+
+
+def millisecond(x: Column) -> Column:
+    return timestamps.extract(x, "millisecond").cast("int")
+
+
+def microsecond(x: Column) -> Column:
+    return (timestamps.extract(x, "millisecond") * 1000 + timestamps.extract(x, "microsecond")).cast("int")
+
+
+def nanosecond(x: Column) -> Column:
+    return (timestamps.extract(x, "millisecond") * 1_000_000 + timestamps.extract(x, "microsecond") * 1000 + timestamps.extract(x, "nanosecond")).cast("int")
+
+

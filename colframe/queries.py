@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +11,10 @@ from .functions import scalars as s
 from .functions import strings as st
 from .functions import timestamps as ts
 from .operators import aggregate as agg
+from .operators import columns as cols
 from .operators import tables as tb
 from .operators.join import join, join_on
+from .operators.places import placed, scratch
 from .operators.sort import sort, sorted_slice
 from .plans import lazy
 from .sources import io
@@ -118,14 +119,14 @@ def scan_no_columns(spark, d):
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def csv_roundtrip(spark, d):
-    folder = tempfile.mkdtemp(prefix="colframe-csv-") + "/out" if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared}/csv-{spark.sparkContext.applicationId}-{F.rand()._jc.hashCode()}"
+    folder = scratch(spark, "csv")
     io.csv_write(read(spark, d, "supplier"), folder, delimiter="|")
     return io.csv_read(spark, folder + "/*.csv", dtypes=["int64", "string", "float64"], delimiter="|", usecols=["s_suppkey", "s_name", "s_acctbal"])
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def parquet_roundtrip(spark, d):
-    folder = tempfile.mkdtemp(prefix="colframe-pq-") + "/out" if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared}/pq-{spark.sparkContext.applicationId}-{F.rand()._jc.hashCode()}"
+    folder = scratch(spark, "pq")
     io.parquet_write(read(spark, d, "nation"), folder)
     return io.parquet_read(spark, folder + "/*.parquet")
 
@@ -181,7 +182,7 @@ def filter_null_mask(spark, d):
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_nationkey = r_regionkey")
 def zip_frames(spark, d):
     a, b = read(spark, d, "nation").select("n_nationkey", "n_name"), read(spark, d, "region").select("r_regionkey", "r_name")
-    return tb.zip_frames(a.orderBy("n_nationkey").coalesce(1), b.orderBy("r_regionkey").coalesce(1)).select("n_name", "r_name")
+    return tb.zip_frames(a.orderBy("n_nationkey").coalesce(1), b.orderBy("r_regionkey").coalesce(1), shorter=True).select("n_name", "r_name")
 
 
 # ---- binary operations
@@ -336,8 +337,7 @@ reduced("reduce_sum", "sum", "float64", f"sum({q_})", digits=2)
 reduced("reduce_mean", "mean", "float64", f"avg({q_})")
 reduced("reduce_min", "min", "float64", f"min(CASE WHEN NOT isnan({VAL_NAN_SQL}) THEN ({VAL_NAN_SQL}) END)", VAL_NAN)
 reduced("reduce_max", "max", "float64", f"max(CASE WHEN NOT isnan({VAL_NAN_SQL}) THEN ({VAL_NAN_SQL}) END)", VAL_NAN)
-reduced("reduce_product", "product", "float64", "product(CASE WHEN l_orderkey < 40 THEN 1 + l_discount END)", lambda: F.when(c("l_orderkey") < 40, 1 + disc()), digits=6)
-reduced("reduce_product_whole", "product", "float64", "product(1 + (l_discount - 0.05) / 1000)", lambda: 1 + (disc() - 0.05) / 1000, digits=9)
+reduced("reduce_product", "product", "float64", "product(1 + (l_discount - 0.05) / 1000)", lambda: 1 + (disc() - 0.05) / 1000, digits=9)
 reduced("reduce_count_valid", "count_valid", "int64", f"count({q_})")
 reduced("reduce_any", "any", "bool", f"bool_or({FLAG_A_SQL})", FLAG_A)
 reduced("reduce_all", "all", "bool", f"bool_and({FLAG_A_SQL})", FLAG_A)
@@ -355,33 +355,25 @@ def reduce_first_last_len(spark, d):
 # ---- joins
 
 
-def all_customers_suppliers(spark, d):
+def customers_suppliers(spark, d):
     a = read(spark, d, "customer").select("c_custkey", NATION().alias("k"), "c_acctbal")
     b = read(spark, d, "supplier").select("s_suppkey", F.when(c("s_nationkey") % 7 != 0, c("s_nationkey") + 3).alias("j"), "s_acctbal")
     return a, b
 
 
-def customers_suppliers(spark, d):
-    a, b = all_customers_suppliers(spark, d)
-    return a.where("c_custkey <= 400"), b.where("s_suppkey <= 60")
-
-
-_JOIN_SQL = f"""WITH a AS (SELECT c_custkey, {NATION_SQL} AS k FROM customer WHERE c_custkey <= 400),
-b AS (SELECT s_suppkey, CASE WHEN s_nationkey % 7 <> 0 THEN s_nationkey + 3 END AS j FROM supplier WHERE s_suppkey <= 60) """
-_JOIN_WHOLE_SQL = f"""WITH a AS (SELECT c_custkey, {NATION_SQL} AS k FROM customer),
+_JOIN_SQL = f"""WITH a AS (SELECT c_custkey, {NATION_SQL} AS k FROM customer),
 b AS (SELECT s_suppkey, CASE WHEN s_nationkey % 7 <> 0 THEN s_nationkey + 3 END AS j FROM supplier) """
-#: The first are over subsets of ids, as their SQL says; the _whole ones are over all rows.
-for _sides, _with, _suffix in ((customers_suppliers, _JOIN_SQL, ""), (all_customers_suppliers, _JOIN_WHOLE_SQL, "_whole")):
-    for _type in ("inner", "left", "full", "semi", "anti"):
-        for _equal in (True, False):
-            _on = "a.k IS NOT DISTINCT FROM b.j" if _equal else "a.k = b.j"
-            _sql = _with + (f"SELECT c_custkey, k FROM a WHERE {'NOT ' * (_type == 'anti')}EXISTS (SELECT 1 FROM b WHERE {_on})" if _type in ("semi", "anti") else f"SELECT c_custkey, k, s_suppkey, j FROM a {_type} JOIN b ON {_on}")
+for _type in ("inner", "left", "full", "semi", "anti"):
+    for _equal in (True, False):
+        _on = "a.k IS NOT DISTINCT FROM b.j" if _equal else "a.k = b.j"
+        _sql = _JOIN_SQL + (f"SELECT c_custkey, k FROM a WHERE {'NOT ' * (_type == 'anti')}EXISTS (SELECT 1 FROM b WHERE {_on})" if _type in ("semi", "anti") else f"SELECT c_custkey, k, s_suppkey, j FROM a {_type} JOIN b ON {_on}")
 
-            def _run(spark, d, sides=_sides, kind=_type, equal=_equal):
-                a, b = sides(spark, d)
-                return join(a, b, lhs_keys=["k"], rhs_keys=["j"], join_type=kind, nulls_equal=equal, lhs_out_columns=["c_custkey", "k"], rhs_out_columns=None if kind not in ("semi", "anti") else None).select(*(["c_custkey", "k"] if kind in ("semi", "anti") else ["c_custkey", "k", "s_suppkey", "j"]))
+        def _run(spark, d, kind=_type, equal=_equal):
+            a, b = customers_suppliers(spark, d)
+            names = ["c_custkey", "k"] if kind in ("semi", "anti") else ["c_custkey", "k", "s_suppkey", "j"]
+            return join(a, b, lhs_keys=["k"], rhs_keys=["j"], join_type=kind, nulls_equal=equal, lhs_out_columns=["c_custkey", "k"]).select(*names)
 
-            named(f"join_{_type}_{'nulleq' if _equal else 'nullneq'}{_suffix}", _sql, _run)
+        named(f"join_{_type}_{'nulleq' if _equal else 'nullneq'}", _sql, _run)
 
 
 @query("SELECT l_orderkey, o_custkey, l_quantity, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -404,16 +396,9 @@ def join_broadcast_left(spark, d):
     return join(read(spark, d, "nation"), read(spark, d, "supplier"), lhs_keys=["n_nationkey"], rhs_keys=["s_nationkey"], broadcast="LEFT", lhs_out_columns=["n_name"], rhs_out_columns=["s_name"])
 
 
-@query("""WITH a AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 15), b AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey > 8)
-SELECT coalesce(a.k, b.k) AS k, a.v AS v, b.v AS v_right FROM a FULL JOIN b ON a.k = b.k""")
-def join_suffix_coalesce(spark, d):
-    n = read(spark, d, "nation").select(c("n_nationkey").alias("k"), c("n_name").alias("v"))
-    return join_on(n.where("k < 15"), n.where("k > 8"), left_on=["k"], right_on=["k"], how="full")
-
-
 @query("""WITH a AS (SELECT c_custkey AS k, c_name AS v FROM customer), b AS (SELECT s_suppkey + 5 AS k, s_name AS v FROM supplier)
 SELECT coalesce(a.k, b.k) AS k, a.v AS v, b.v AS v_right FROM a FULL JOIN b ON a.k = b.k""")
-def join_suffix_coalesce_whole(spark, d):
+def join_suffix_coalesce(spark, d):
     a = read(spark, d, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("v"))
     return join_on(a, read(spark, d, "supplier").select((c("s_suppkey") + 5).alias("k"), c("s_name").alias("v")), left_on=["k"], right_on=["k"], how="full")
 
@@ -433,18 +418,14 @@ def sorted_query(name: str, sql: str, **options) -> None:
 
 sorted_query("sort_multi_nulls_first", "p NULLS FIRST, o, n", nulls_at_end=False)
 sorted_query("sort_multi_nulls_last", "p NULLS LAST, o DESC, n", sort_ascending=[True, False, True])
-sorted_query("sort_desc_nulls_last", "p DESC NULLS LAST, o, n LIMIT 500", sort_ascending=[False, True, True], limit=500)
-sorted_query("sort_desc_nulls_last_whole", "p DESC NULLS LAST, o, n", sort_ascending=[False, True, True])
+sorted_query("sort_desc_nulls_last", "p DESC NULLS LAST, o, n", sort_ascending=[False, True, True])
 sorted_query("topk", "p NULLS FIRST, o, n LIMIT 50", nulls_at_end=False, limit=50)
 named("tail", f"SELECT * FROM ({_SORT} ORDER BY p DESC NULLS FIRST, o DESC, n DESC LIMIT 50)", lambda spark, d: sort(items(spark, d).select(*_sort_columns()), ["p", "o", "n"], limit=-50))
 named("sort_slice", f"{_SORT} ORDER BY p NULLS LAST, o, n LIMIT 20 OFFSET 100", lambda spark, d: sorted_slice(items(spark, d).select(*_sort_columns()), ["p", "o", "n"], 100, 20))
 named("sort_slice_tail", f"SELECT * FROM (SELECT * FROM ({_SORT} ORDER BY p DESC NULLS FIRST, o DESC, n DESC LIMIT 30) ORDER BY p NULLS LAST, o, n LIMIT 10)", lambda spark, d: sorted_slice(items(spark, d).select(*_sort_columns()), ["p", "o", "n"], -30, 10))
-named("sort_stable", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag", lambda spark, d: sort(items(spark, d), ["l_returnflag"], stable=True).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")))
-
-
 @query("""SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY r) AS place
 FROM (SELECT *, row_number() OVER () AS r FROM lineitem)""")
-def sort_stable_whole(spark, d):
+def sort_stable(spark, d):
     rows = sort(items(spark, d).select("l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], stable=True)
     ties = Window.partitionBy("l_returnflag").orderBy("at")
     return rows.withColumn("at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(ties)).drop("at")
@@ -473,9 +454,10 @@ def set_intersect(spark, d):
     return tb.intersect(read(spark, d, "customer").select(c("c_nationkey").alias("k")), read(spark, d, "supplier").select(c("s_nationkey").alias("k")))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
+@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey % 5 FROM supplier")
 def set_subtract(spark, d):
-    return tb.subtract(read(spark, d, "customer").select(c("c_custkey").alias("k")), read(spark, d, "supplier").select(c("s_suppkey").alias("k")))
+    """Keys that repeat on both sides."""
+    return tb.subtract(read(spark, d, "customer").select(c("c_nationkey").alias("k")), read(spark, d, "supplier").select((c("s_nationkey") % 5).alias("k")))
 
 
 # ---- the lazy front end
@@ -489,6 +471,114 @@ def lazy_pipeline(spark, d):
     return frame.group_by("n_name").agg(total=F.round(lazy.total(c("o_totalprice")), 2), n=lazy.length()).sort("n_name").df
 
 
+# ---- columns with their types checked
+
+_TS_TEXT = "CASE WHEN event_id % 5 <> 0 THEN date_trunc('second', ts) END"
+
+
+@query(f"SELECT p_partkey, starts_with({_NAME_SQL}, 'part 2') AS m FROM part")
+def match_checked(spark, d):
+    return cols.match(read(spark, d, "part").select("p_partkey", _name().alias("name")), "name", "starts_with", "part 2", "m").select("p_partkey", "m")
+
+
+@query(f"SELECT event_id, {_TS_TEXT} AS u, date_trunc('second', {_TS_TEXT}) AS s FROM events")
+def to_timestamps_typed(spark, d):
+    df = read(spark, d, "events").select("event_id", F.when(c("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("x"))
+    df = df.withColumn("y", F.concat("x", F.lit(".250000")))
+    df = cols.to_timestamps(df, "x", "timestamp[us]", "%Y-%m-%d %H:%M:%S", "u")
+    return cols.to_timestamps(df, "y", "timestamp[s]", "%Y-%m-%d %H:%M:%S.%f", "s").select("event_id", "u", "s")
+
+
+@query(f"SELECT event_id, hour({_TS_SQL}) AS h FROM events")
+def extract_checked(spark, d):
+    return cols.extract_timestamp_component(read(spark, d, "events").select("event_id", _t().alias("t")), "t", "hour", "h").select("event_id", "h")
+
+
+@query(f"SELECT {ID_SQL}, coalesce({QTY_NULL_SQL}, -1) AS x, CASE WHEN {FLAG_A_SQL} THEN l_quantity ELSE l_tax END AS y FROM lineitem")
+def replace_and_choose_checked(spark, d):
+    df = cols.replace_nulls(items(spark, d).withColumns({"q": QTY_NULL(), "f": FLAG_A()}), "q", -1.0, "x")
+    return cols.copy_if_else(df, "f", "l_quantity", "l_tax", "y").select(*ID, "x", "y")
+
+
+_V = VAL_NAN_SQL
+scalar_query("bin_element_wise", lambda: {"hi": s.binary(VAL_NAN(), 25.0, "max_element_wise"), "lo": s.binary(VAL_NAN(), 25.0, "min_element_wise"), "s": s.binary(c("l_returnflag"), "B", "max_element_wise")},
+             {"hi": f"CASE WHEN ({_V}) > 25 AND NOT isnan({_V}) THEN ({_V}) ELSE 25 END", "lo": f"CASE WHEN ({_V}) < 25 THEN ({_V}) ELSE 25 END", "s": "greatest(l_returnflag, 'B')"})
+
+
+@query(f"SELECT l_returnflag, bool_or({FLAG_A_SQL}) AS a, bool_and({FLAG_A_SQL}) AS b, median(l_linenumber)::DOUBLE AS m FROM lineitem GROUP BY l_returnflag")
+def gb_any_all_median(spark, d):
+    df = items(spark, d).select("l_returnflag", FLAG_A().alias("f"), "l_linenumber")
+    return agg.groupby_aggregation(df, ["l_returnflag"], [("f", "any", "a"), ("f", "all", "b"), ("l_linenumber", "median", "m")])
+
+
+@query(f"SELECT * FROM (SELECT {ID_SQL}, {_V} AS v, row_number() OVER (ORDER BY {_V} NULLS LAST, {ID_SQL}) - 1 AS place FROM lineitem)")
+def sort_nan(spark, d):
+    """All rows with their places: NaN behind all numbers, null behind NaN."""
+    return placed(sort(items(spark, d).select(*ID, VAL_NAN().alias("v")), ["v", *ID]), "place")[0]
+
+
+@query(f"{_SORT} ORDER BY p NULLS LAST, o, n OFFSET 100")
+def sort_slice_open(spark, d):
+    return sorted_slice(items(spark, d).select(*_sort_columns()), ["p", "o", "n"], 100)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 30")
+def slice_open(spark, d):
+    return tb.slice_rows(read(spark, d, "orders", ["o_orderkey"]), 30, None, ["o_orderkey"])
+
+
+# ---- more of the lazy front end
+
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_discount < 0.02")
+def lazy_scan_parquet(spark, d):
+    return lazy.scan_parquet(spark, [f"{d}/lineitem.parquet"], ["l_orderkey", "l_quantity"], c("l_discount") < 0.02).df
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def lazy_scan_csv(spark, d):
+    folder = scratch(spark, "csv")
+    io.csv_write(read(spark, d, "nation", ["n_nationkey", "n_name"]), folder)
+    return lazy.scan_csv(spark, folder + "/*.csv", ["int64", "string"]).df
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def lazy_from_frame(spark, d):
+    return lazy.from_frame(spark, read(spark, d, "region", ["r_regionkey", "r_name"]).toArrow()).df
+
+
+@query(f"SELECT event_id, (millisecond({_TS_SQL}) % 1000)::INT AS ms, (microsecond({_TS_SQL}) % 1000000)::INT AS us, (microsecond({_TS_SQL}) % 1000000 * 1000)::INT AS ns FROM events")
+def lazy_dt_fractions(spark, d):
+    return read(spark, d, "events").select("event_id", lazy.millisecond(_t()).alias("ms"), lazy.microsecond(_t()).alias("us"), lazy.nanosecond(_t()).alias("ns"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 40")
+def lazy_slice(spark, d):
+    return lazy.LazyFrame(read(spark, d, "orders", ["o_orderkey", "o_custkey"])).sort("o_orderkey").slice(40, 25).df
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def lazy_unique_cache(spark, d):
+    return lazy.LazyFrame(items(spark, d).select("l_returnflag", "l_linestatus")).unique().cache().df
+
+
+@query("SELECT max(p_name) AS hi, min(p_name) AS lo, min(p_size) AS size, sum(CASE WHEN p_size > 10 THEN p_retailprice END)::DECIMAL(20, 2)::DOUBLE AS some, count(DISTINCT p_size) AS sizes FROM part")
+def lazy_extremes(spark, d):
+    """Extremes of strings and whole numbers, an aggregate of some rows, and distinct values of a whole frame."""
+    return read(spark, d, "part").agg(lazy.greatest(c("p_name")).alias("hi"), lazy.least(c("p_name")).alias("lo"), lazy.least(c("p_size")).alias("size"), F.round(F.sum(lazy.only(c("p_retailprice"), c("p_size") > 10)), 2).alias("some"), lazy.n_unique(c("p_size")).alias("sizes"))
+
+
+@query("SELECT s_suppkey, s_name, n_name FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey + 20")
+def lazy_join_right(spark, d):
+    n, s_ = read(spark, d, "nation", ["n_nationkey", "n_name"]), read(spark, d, "supplier").select((c("s_nationkey") + 20).alias("k"), "s_suppkey", "s_name")
+    return lazy.LazyFrame(n).join(lazy.LazyFrame(s_), ["n_nationkey"], ["k"], "right").df.select("s_suppkey", "s_name", "n_name")
+
+
+@query("SELECT n_name, r_name FROM nation CROSS JOIN region")
+def join_cross(spark, d):
+    return join_on(read(spark, d, "nation", ["n_name"]), read(spark, d, "region", ["r_name"]), left_on=[], right_on=[], how="cross")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

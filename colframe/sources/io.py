@@ -123,6 +123,8 @@ def from_arrow(spark: SparkSession, data: Any) -> DataFrame:
     """An Arrow table, or an array or scalar as the column ``value``."""
     import pyarrow as pa
 
+    if type(data).__module__.startswith("pandas"):
+        data = pa.Table.from_pandas(data, preserve_index=False)
     if isinstance(data, pa.Scalar):
         data = pa.array([data.as_py()], data.type)
     if isinstance(data, (pa.Array, pa.ChunkedArray)):
@@ -142,15 +144,29 @@ def to_arrow(df: DataFrame):
     return df.toArrow()
 
 
-def to_array(df: DataFrame):
-    """A NumPy array of one column, or of rows by columns; ValueError if there is a null."""
+def to_array(df: DataFrame, out: Any = None, writeable: bool = True):
+    """A NumPy array of one column, or of rows by columns, on the driver; ValueError if there is a null. The values go
+    into ``out`` if that is given; an array that isn't ``writeable`` is read-only."""
     data = df.toArrow()
     if any(c.null_count for c in data.columns):
         raise ValueError("nulls have no place in an array")
     import numpy as np
 
     columns = [c.to_numpy() for c in data.columns]
-    return columns[0] if len(columns) == 1 else np.stack(columns, 1)
+    values = columns[0] if len(columns) == 1 else np.stack(columns, 1)
+    if out is not None:
+        out[...] = values
+        return out
+    values = np.array(values)
+    values.flags.writeable = writeable
+    return values
+
+
+def describe(df: DataFrame, rows: int = 5) -> str:
+    """The first rows and the types of a table, for display."""
+    head = df.limit(rows).toArrow().to_pylist()
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.schema)
+    return "\n".join([f"[{kinds}]", *(str(tuple(r.values())) for r in head)])
 
 
 def sequence(spark: SparkSession, size: int, init: int = 0, name: str = "value") -> DataFrame:
@@ -158,8 +174,11 @@ def sequence(spark: SparkSession, size: int, init: int = 0, name: str = "value")
     return spark.range(init, init + size).withColumnRenamed("id", name)
 
 
-def offload(df: DataFrame) -> DataFrame:
-    """Keeps the rows on the executors' disks once they are computed."""
+def offload(df: DataFrame, target: str = "disk") -> DataFrame:
+    """Keeps the rows on the executors once they are computed: on ``disk``, or in ``memory`` as far as they fit."""
     from pyspark import StorageLevel
 
-    return df.persist(StorageLevel.DISK_ONLY)
+    levels = {"disk": StorageLevel.DISK_ONLY, "memory": StorageLevel.MEMORY_AND_DISK}
+    if target not in levels:
+        raise ValueError(f"unknown target {target!r}; known: {', '.join(levels)}")
+    return df.persist(levels[target])

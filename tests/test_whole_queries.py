@@ -1,4 +1,4 @@
-"""Queries over all rows of tables that the older queries of their operators cut, at a scale at which the cuts show."""
+"""Queries over all rows of their tables, at a scale at which a cut would show."""
 
 import duckdb
 import pytest
@@ -8,7 +8,7 @@ from colframe import queries
 from .test_queries import TABLES, norm
 
 DATA = "/root/testdata/sf0.01"
-JOINS = [f"join_{kind}_{nulls}_whole" for kind in ("inner", "left", "full", "semi", "anti") for nulls in ("nulleq", "nullneq")]
+JOINS = [f"join_{kind}_{nulls}" for kind in ("inner", "left", "full", "semi", "anti") for nulls in ("nulleq", "nullneq")]
 
 
 @pytest.fixture(scope="module")
@@ -43,33 +43,33 @@ def test_joins(spark, con, name):
 def test_semi_and_anti_are_all_rows(spark, con):
     n = con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
     for nulls in ("nulleq", "nullneq"):
-        assert sum(queries.queries()[f"join_{kind}_{nulls}_whole"](spark, DATA).count() for kind in ("semi", "anti")) == n
+        assert sum(queries.queries()[f"join_{kind}_{nulls}"](spark, DATA).count() for kind in ("semi", "anti")) == n
 
 
 def test_suffix_coalesce(spark, con):
-    rows = both(spark, con, "join_suffix_coalesce_whole")
+    rows = both(spark, con, "join_suffix_coalesce")
     assert sum(r["v"] is not None for r in rows) == con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
     assert sum(r["v_right"] is not None for r in rows) == con.sql("SELECT count(*) FROM supplier").fetchall()[0][0]
 
 
 def test_product(spark, con):
     """Every row has a part in it: without the last one the product differs."""
-    [row] = both(spark, con, "reduce_product_whole")
+    [row] = both(spark, con, "reduce_product")
     less = con.sql("SELECT round(product(1 + (l_discount - 0.05) / 1000), 9) FROM (SELECT *, row_number() OVER (ORDER BY abs(l_discount - 0.05) DESC) AS i FROM lineitem) WHERE i > 1").fetchall()[0][0]
     assert row["x"] not in (0.0, 1.0, norm(less))
 
 
 def test_sort_desc_nulls_last(spark, con):
     """All rows, the nulls behind the others."""
-    both(spark, con, "sort_desc_nulls_last_whole")
-    got = [tuple(r) for r in queries.queries()["sort_desc_nulls_last_whole"](spark, DATA).select("p", "o", "n").collect()]
+    both(spark, con, "sort_desc_nulls_last")
+    got = [tuple(r) for r in queries.queries()["sort_desc_nulls_last"](spark, DATA).select("p", "o", "n").collect()]
     assert len(got) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
     assert got == sorted(got, key=lambda r: (r[0] is None, -(r[0] or 0), r[1], r[2])) and got[-1][0] is None
 
 
 def test_sort_stable(spark, con):
     """All rows, ties in the order in which they are read."""
-    rows = both(spark, con, "sort_stable_whole")
+    rows = both(spark, con, "sort_stable")
     assert len(rows) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
-    got = [tuple(r) for r in queries.queries()["sort_stable_whole"](spark, DATA).select("l_returnflag", "place").collect()]
+    got = [tuple(r) for r in queries.queries()["sort_stable"](spark, DATA).select("l_returnflag", "place").collect()]
     assert got == sorted(got)
