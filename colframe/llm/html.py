@@ -26,8 +26,8 @@ from .store import limit_batches
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 #: Their contents are not markup, and never text of the page.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp", "noembed", "noframes")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = ("script", "style", "template", "textarea", "title", "iframe", "svg", "xmp", "noembed", "noframes")
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object noscript math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder semantics".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends an open element of the values, up to one of BARRIERS.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
