@@ -45,7 +45,7 @@ def to_png(payload: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     header = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 3)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int, str]:
@@ -196,6 +196,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     folder = new_folder(df.sparkSession, "media")
     write_media(df, id_col, text_col, folder)
     places = df.sparkSession.read.parquet(f"{folder}/places")  # an image is read once, however many rows share it
-    facts = places.join(media_features(places), "digest").join(media_metadata(places).select("digest", "width", "height"), "digest")
+    # the payload's digest, which reading has verified, is kept once
+    facts = places.join(media_features(places).drop("payload_sha256"), "digest").join(media_metadata(places).select("digest", "width", "height"), "digest")
     rows = _placed(df.sparkSession.read.parquet(f"{folder}/rows"), written(facts, "media-facts"))
-    return rows.select(F.col("key").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+    return rows.select(F.col("key").alias(id_col), "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
