@@ -253,15 +253,26 @@ def read_ranges(rows, gap: int = 1 << 16, most: int = 8 << 20):
         opened[1].close()
 
 
-def by_place(places: DataFrame, file: str, offset: str = "offset", length: str = "length") -> DataFrame:
-    """Ranges of files, sorted within ranges of ``file`` and ``offset``. They are dealt out by the bytes that they stand for, in
-    Spark's advisory size, and not by those of the table that names them."""
-    spark = places.sparkSession
-    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").lower().rstrip("b")
+def _bytes(spark: SparkSession, name: str) -> int:
+    """A setting that is a number of bytes."""
+    size = spark.conf.get(name).lower().rstrip("b")
     unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(size[-1], 0)
-    advised = int(size.rstrip("kmgt")) << unit
+    return int(size.rstrip("kmgt")) << unit
+
+
+def read_tasks(spark: SparkSession, total: int) -> int:
+    """How many tasks read so many bytes of files: by the rule of Spark's own scans, a task for each
+    ``spark.sql.files.maxPartitionBytes``, or for less while cores would be idle, but not below the cost of opening a file."""
+    most, least = (_bytes(spark, f"spark.sql.files.{n}") for n in ("maxPartitionBytes", "openCostInBytes"))
+    share = min(most, max(least, -(-total // spark.sparkContext.defaultParallelism)))
+    return max(1, -(-total // share))
+
+
+def by_place(places: DataFrame, file: str, offset: str = "offset", length: str = "length") -> DataFrame:
+    """Ranges of files, sorted within ranges of ``file`` and ``offset``. They are dealt out by the bytes that they stand for, as
+    a scan of those files would be, and not by those of the table that names them."""
     total = places.agg(F.sum(length)).first()[0] or 0
-    return places.repartitionByRange(max(1, -(-total // advised)), file, offset).sortWithinPartitions(file, offset)
+    return places.repartitionByRange(read_tasks(places.sparkSession, total), file, offset).sortWithinPartitions(file, offset)
 
 
 def remove(uri: str) -> None:
