@@ -4,7 +4,9 @@ A text is lowered; what isn't a letter is a space. Its subwords are runs of 2 to
 inside, so those at a word's ends hold the space beside it. Each is hashed to a row of an embedding table; the
 mean of a text's rows goes through a linear softmax. Both are trained in numpy by stochastic gradient descent on
 a bounded sample of labelled rows. A temperature fitted on a held-back part of the sample makes the score a
-probability, and rejection a threshold on it.
+probability; its targets are smoothed as in Platt scaling, else it would fall without end where no held-back text is
+wrong, and all scores be 1. Rejection is a threshold on the score, one for each range of text lengths, as short texts
+are less certain than long ones. A model of a single language has no score but 1 and rejects only texts without letters.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ BUCKETS, DIMENSION, SIZES = 1 << 14, 16, (2, 3, 4)
 #: Code points that one round of array operations takes.
 PIECE = 1 << 20
 NO_LANGUAGE = "und"
+#: Code points at which a training text is cut, and up to which a text counts as short, middling or (beyond all) long.
+CUTS = (40, 200)
+#: What a score may lie below its threshold, for sums in another order.
+SLACK = 1e-6
 
 
 @dataclass
@@ -33,7 +39,7 @@ class Model:
     head: np.ndarray | None  # embedding to logits, where the table holds embeddings
     bias: np.ndarray
     temperature: float
-    least: float  # calibrated probability below which a text is rejected
+    least: np.ndarray  # by range of lengths: calibrated probability below which a text is rejected
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Calibrated probabilities, a row for each text; texts without subwords have equal ones."""
@@ -44,6 +50,15 @@ class Model:
         p = np.exp(logits - logits.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
+    def thresholds(self, texts: list[str]) -> np.ndarray:
+        """The score that each text must reach."""
+        return self.least[_lengths(texts)] - SLACK
+
+
+def _lengths(texts: list[str]) -> np.ndarray:
+    """The range of lengths of each text."""
+    return np.searchsorted(CUTS, [len(t) for t in texts])
+
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -125,12 +140,14 @@ def _sums(texts: list[str], table: np.ndarray, starts: int = 0, skip: bool = Fal
     return out
 
 
-def train(texts: list[str], languages: list[str], seed: int = 7, epochs: int = 4, batch: int = 64, rate: float = 40.0, reject: float = 0.001) -> Model:
-    """SGD over short and long parts of the texts. ``reject``: share of the held-back texts, of those that are
-    classified right, that the rejection threshold would lose; it is 0.5 at most."""
+def train(texts: list[str], languages: list[str], seed: int = 7, epochs: int = 4, least_steps: int = 400, batch: int = 64, rate: float = 40.0, reject: float = 0.002) -> Model:
+    """SGD over short and long parts of the texts, ``epochs`` times over all or, of a small sample, ``least_steps`` steps.
+    ``reject``: share of the held-back parts of a range of lengths, right or wrong, that the range's threshold would lose.
+    With fewer parts than 1 / ``reject`` that is about the least score, which loses some more of other texts. A range without
+    parts has the threshold of the one before, the first 0."""
     names = sorted(set(languages))
     if not names:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), None, np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 1), np.float32), None, np.zeros(0), 1.0, np.zeros(len(CUTS) + 1))
     number, rng = {x: i for i, x in enumerate(names)}, np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
@@ -138,7 +155,7 @@ def train(texts: list[str], languages: list[str], seed: int = 7, epochs: int = 4
     def parts(rows):
         for i in rows:
             t = texts[i]
-            for a, b in ((0, 40), (40, 200), (200, 1000)):
+            for a, b in zip((0, *CUTS), (*CUTS, None), strict=True):
                 if t[a:b].strip() or a == 0:
                     yield t[a:b], number[languages[i]]
 
@@ -170,8 +187,9 @@ def train(texts: list[str], languages: list[str], seed: int = 7, epochs: int = 4
 
     data = bags(used) if len(used) else None
     steps = 0
-    for _ in range(epochs if data else 0):
-        for rows in np.array_split(p := rng.permutation(len(data[0])), max(1, len(p) // batch)):
+    once = max(1, len(data[0]) // batch) if data else 1
+    for _ in range(max(epochs, -(-least_steps // once)) if data else 0):
+        for rows in np.array_split(rng.permutation(len(data[0])), once):
             buckets, x = dense(data, rows)
             mean = x @ emb[buckets]
             g = softmax(mean @ head + bias)
@@ -183,23 +201,28 @@ def train(texts: list[str], languages: list[str], seed: int = 7, epochs: int = 4
             bias -= lr * 0.02 * g.sum(0)
             emb[buckets] -= lr * to_emb
             steps += 1
-    temperature, least = 1.0, 0.0
-    check = bags(held) if len(held) else data
+    few = len(names) <= DIMENSION
+    model = Model(names, np.asfortranarray(emb @ head) if few else emb, None if few else head, bias, 1.0, np.zeros(len(CUTS) + 1))
+    check = list(parts(held if len(held) else used))
     if check:
-        z = []
-        for rows in np.array_split(np.arange(len(check[0])), max(1, len(check[0]) // 256)):
-            buckets, x = dense(check, rows)
-            z.append(x @ emb[buckets] @ head + bias)
-        z = np.concatenate(z)
-        truth, grid = check[0], np.geomspace(0.05, 20, 61)
-        loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        p = softmax(z / temperature)
-        right = p.max(1)[p.argmax(1) == truth]
-        least = float(min(0.5, np.quantile(right, reject))) if len(right) else 0.0
-    if len(names) <= DIMENSION:
-        return Model(names, np.asfortranarray(emb @ head), None, bias, temperature, least)
-    return Model(names, emb, head, bias, temperature, least)
+        pieces, truth = [t for t, _ in check], np.array([k for _, k in check])
+        z, own = np.log(np.maximum(model.scores(pieces), 1e-300)), np.eye(len(names), dtype=bool)[truth]
+        miss = 1 / (len(truth) + 2)
+        target = np.where(own, 1 - miss, miss / max(1, len(names) - 1))
+        grid = np.geomspace(0.05, 20, 61)
+        loss = [-(target * _log_softmax(z / t)).sum(1).mean() for t in grid]
+        model.temperature = float(grid[int(np.argmin(loss))])
+        p = model.scores(pieces)
+        band, best = _lengths(pieces), p.max(1)
+        for k in range(len(CUTS) + 1):
+            held_scores = best[band == k]
+            model.least[k] = np.quantile(held_scores, reject) if len(held_scores) else model.least[max(0, k - 1)]
+    return model
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
 def in_fold(key: Column, fold: int, folds: int) -> Column:
@@ -235,7 +258,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns of ``df`` (default all) with ``lang_pred``, ``score`` and ``accepted``, from the whole
     text alone. A text that is null or has no letter is ``und`` with score 0, and so is every text if the model has no
-    languages; those, and texts whose score is below the model's threshold, aren't accepted."""
+    languages; those, and texts whose score is below the model's threshold for their length, aren't accepted."""
     spark = df.sparkSession
     limit_batches(spark)
     names = keep if keep is not None else df.columns
@@ -252,7 +275,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             best = p.argmax(1) if model.languages else np.zeros(len(texts), int)
             lang = [model.languages[b] if k else NO_LANGUAGE for b, k in zip(best, known, strict=True)]
             score = [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([k and s >= model.least for k, s in zip(known, score, strict=True)], pa.bool_())], names=["row", "lang_pred", "score", "accepted"])
+            accepted = np.array(known, bool) & (np.array(score) >= model.thresholds(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted)], names=["row", "lang_pred", "score", "accepted"])
 
     return source.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "accepted")
 

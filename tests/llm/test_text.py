@@ -42,6 +42,28 @@ def test_labels_and_ids_are_no_inputs(spark, odd):
     assert a == b
 
 
+@pytest.mark.parametrize("unknown", ["de", "en", "es", "fr"])
+def test_rejects_a_language_that_was_not_learned(spark, unknown):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and text is not null")
+    model = langid.fit(docs.where(F.col("lang") != unknown))
+    assert unknown not in model.languages
+    rows = langid.predict(docs.where(langid.in_fold(F.col("doc_id"), 2, 4)), model, keep=["lang"]).collect()
+    known, other = ([r.accepted for r in rows if (r.lang == unknown) == x] for x in (False, True))
+    assert np.mean(known) > 0.98 and np.mean(other) < 0.1
+
+
+def test_scores_of_a_perfect_model_stay_apart():
+    texts, langs = ["the cat sat on a mat", "der hund und die katze"] * 60, ["en", "de"] * 60
+    model = langid.train(texts, langs)
+    assert model.temperature > 0.05 and (model.scores(texts).argmax(1) == [1, 0] * 60).all()
+    assert (model.scores(texts).max(1) >= model.thresholds(texts)).all()
+    alone = langid.train(["the cat sat on a mat"] * 9, ["en"] * 9)
+    assert (alone.scores(["der hund"]) == 1).all() and (alone.thresholds(["der hund"]) <= 1).all()
+    for few in (1, 2, 4):
+        model = langid.train(texts[:few], langs[:few])
+        assert (model.scores(texts).max(1) <= 1).all() and len(model.thresholds(texts)) == len(texts)
+
+
 def test_long_text_is_summed_whole(monkeypatch):
     model = langid.train(["the cat sat on a mat"] * 30 + ["der hund und die katze"] * 30, ["en"] * 30 + ["de"] * 30)
     text = "the cat " * 300 + "und die " * 900
