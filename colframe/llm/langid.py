@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import char_classes
-from .store import limit_batches
+from .store import gives_back, limit_batches
 
 BUCKETS, DIMENSION, SIZES = 1 << 14, 16, (2, 3, 4)
 #: Code points that one round of array operations takes.
@@ -278,7 +278,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             accepted = np.array(known, bool) & (np.array(score) >= model.thresholds(texts))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted)], names=["row", "lang_pred", "score", "accepted"])
 
-    return source.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "accepted")
+    return source.mapInArrow(gives_back(run), schema).select("row.*", "lang_pred", "score", "accepted")
 
 
 def _has_letter(text: str, letter: np.ndarray) -> bool:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .shingles import mixed, shingles
-from .store import Beside, limit_batches, numbered, release, utf8, written
+from .store import Beside, gives_back, limit_batches, numbered, release, utf8, written
 
 #: A pair of similarity 0.8 shares none of 24 bands of 4 registers with a probability of 3 in a million.
 BANDS, ROWS = 24, 4
@@ -135,7 +135,7 @@ def _signed(rows: DataFrame, n: int) -> DataFrame:
                 bands += [x if w else None for x, w in zip(hashes, weight, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "key", "digest", "weight", "bands"])
 
-    return rows.select("row", "key", "text").mapInArrow(run, schema)
+    return rows.select("row", "key", "text").mapInArrow(gives_back(run), schema)
 
 
 def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             found = batch.filter(pa.array(lo < hi))
             yield pa.RecordBatch.from_arrays([found.column(0), pa.array([pack.compress(t) for t in utf8(found.column(1))], pa.binary())], names=["node", "z"])
 
-    out = written(rows.select("row", "text").mapInArrow(run, "node long, z binary"), "minhash-contents")
+    out = written(rows.select("row", "text").mapInArrow(gives_back(run), "node long, z binary"), "minhash-contents")
     beside.release()
     return out
 
@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, contents: DataFrame, n: int, least: float) -> Dat
 
     left = contents.select(F.col("node").alias("a"), F.col("z").alias("za"))
     right = contents.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(gives_back(run), "a long, b long")
 
 
 def cross_links(members: DataFrame, contents: DataFrame, n: int, least: float) -> DataFrame:
@@ -225,7 +225,7 @@ def cross_links(members: DataFrame, contents: DataFrame, n: int, least: float) -
                 group.append(row)
         yield flush()
 
-    found = written(rows.mapInArrow(run, "a long, b long"), "minhash-links")
+    found = written(rows.mapInArrow(gives_back(run), "a long, b long"), "minhash-links")
     release(nodes, sizes, clusters)
     return found
 
