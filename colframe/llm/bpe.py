@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -221,6 +221,11 @@ class TrieEncoder:
             self._reset()
         return out
 
+    def flat(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of all words behind each other, and how many each word has."""
+        ids = self(words)
+        return list(chain.from_iterable(ids)), list(map(len, ids))
+
 
 class LibraryEncoder:
     """Encodes distinct words with the ``tokenizers`` library."""
@@ -233,16 +238,25 @@ class LibraryEncoder:
 
         # words are given to the file's model itself, in the alphabet that stands for bytes
         self.model = Tokenizer.from_file(path).model
-        self.alphabet = {chr(b): c for c, b in byte_alphabet().items()}
-        self.alphabet = str.maketrans(self.alphabet)
+        self.alphabet = np.zeros(256, "<u2")
+        for c, b in byte_alphabet().items():
+            self.alphabet[b] = ord(c)
 
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
+    def _tokens(self, words: list[bytes]) -> list[list]:
         if not words:
             return []
-        # a byte that no UTF-8 text holds parts the words
-        texts = b"\xff".join(words).decode("latin-1").split("\xff")
-        tokenize, alphabet = self.model.tokenize, self.alphabet
-        return [[t.id for t in tokenize(w.translate(alphabet))] if w else [] for w in texts]
+        # a byte that no UTF-8 text holds, and that stands for itself, parts the words
+        texts = self.alphabet[np.frombuffer(b"\xff".join(words), np.uint8)].tobytes().decode("utf-16-le").split("\xff")
+        tokenize = self.model.tokenize
+        return [tokenize(w) if w else [] for w in texts]
+
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in tokens] for tokens in self._tokens(words)]
+
+    def flat(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of all words behind each other, and how many each word has."""
+        found = self._tokens(words)
+        return [t.id for tokens in found for t in tokens], list(map(len, found))
 
 
 @lru_cache(maxsize=1)
@@ -395,9 +409,9 @@ class TableEncoder:
         return self.encode_words([text[a:b].encode() for a, b in zip(starts[:-1], starts[1:], strict=True)])
 
     def _slots(self, points, starts, distinct, where, checks) -> np.ndarray:
-        found = list(map(self.known.get, distinct.tolist()))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
+        found = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0)
+        if len(new):
             w = where[new]
             ends = np.append(starts[1:], len(points))
             # the new words behind each other, each after a border, as one text
@@ -412,16 +426,15 @@ class TableEncoder:
             if len(words) != len(new):  # a border is among them, as the empty word between two
                 k = next(i for i, x in enumerate(w.tolist()) if points[starts[x]] == BORDER)
                 del words[k : k + 1]
-            ids = self.encode_words(words)
-            at, base = len(self.flat), len(self.first)
-            lengths = [len(x) for x in ids]
-            self.flat.extend(chain.from_iterable(ids))
-            self.first.extend((at + np.cumsum([0, *lengths[:-1]])).tolist())
-            self.length.extend(lengths)
-            self.second.extend(checks[w].tolist())
-            for n, (i, key) in enumerate(zip(new, distinct[new].tolist(), strict=True)):
-                self.known[key] = found[i] = base + n
-        return np.array(found, np.int64)
+            ids, lengths = self.encode_words.flat(words)
+            at, base, n = len(self.flat), len(self.first), np.array(lengths, np.int64)
+            self.flat.frombytes(np.array(ids, np.uint32).tobytes())
+            self.first.frombytes((at + np.cumsum(n) - n).tobytes())
+            self.length.frombytes(n.tobytes())
+            self.second.frombytes(checks[w].tobytes())
+            found[new] = np.arange(base, base + len(new))
+            self.known.update(zip(distinct[new].tolist(), range(base, base + len(new)), strict=True))
+        return found
 
 
 @lru_cache(maxsize=4)

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +28,8 @@ from .store import PartFile, by_place, limit_batches, new_folder, read_ranges, r
 
 #: A chunk ends after LEAST ids at least, where the hash of the last LOOK ids has MASK's bits clear, or at MOST ids.
 LEAST, LOOK, MASK, MOST = 128, 16, (1 << 9) - 1, 4096
+#: Ids that are hashed at once, or those of one text.
+HASHED = 1 << 16
 #: A pack is closed, and the next begun, beyond this size.
 PACK_BYTES = 1 << 30
 #: Digests that a task remembers; a chunk that it forgot is staged once more.
@@ -37,29 +41,54 @@ def _values() -> np.ndarray:
     return np.random.default_rng(5).integers(0, 1 << 64, 1 << 18, np.uint64)
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where chunks end; they depend on the ids since the last end alone."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    x = _values()[ids & 0x3FFFF]
-    h = x
+def _cuts(ids: np.ndarray) -> np.ndarray:
+    """Where the hash of the last LOOK ids lets a chunk end."""
+    h = _values()[ids & 0x3FFFF]
     for k in (1, 2, 4, 8):  # a rolling hash of LOOK ids, by doubling: each id counts by its distance
         y = h.copy()
         y[k:] += h[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
         h = y
-    cuts = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def _ends(n: int, cuts: list[int]) -> list[int]:
     out, at = [], 0
     while n - at > LEAST:
-        k = np.searchsorted(cuts, at + LEAST)
-        end = min(int(cuts[k]) if k < len(cuts) else n, at + MOST, n)
-        out.append(end)
-        at = end
+        k = bisect_left(cuts, at + LEAST)
+        at = min(cuts[k] if k < len(cuts) else n, at + MOST, n)
+        out.append(at)
     if at < n:
         out.append(n)
     return out
 
 
+def chunk_ends(ids: np.ndarray) -> list[int]:
+    """Where chunks end; they depend on the ids since the last end alone."""
+    return _ends(len(ids), _cuts(ids).tolist() if len(ids) > LEAST else [])
+
+
+def chunked(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """The ids of each text, and its ``chunk_ends``. Short texts are hashed together: a chunk ends behind LEAST ids of its text, which
+    are more than the LOOK ids that the hash sees, so it sees none of the text before."""
+    held, size = [], 0
+    for ids in texts:
+        if held and size + len(ids) > HASHED:
+            yield from _chunked(held)
+            held, size = [], 0
+        held.append(ids)
+        size += len(ids)
+    if held:
+        yield from _chunked(held)
+
+
+def _chunked(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    together = np.concatenate(texts)
+    cuts, edge = _cuts(together) if len(together) > LEAST else np.zeros(0, np.int64), np.cumsum([0, *map(len, texts)])
+    own = np.searchsorted(cuts, edge, "right").tolist()
+    for ids, first, a, b in zip(texts, edge.tolist(), own, own[1:], strict=False):
+        yield ids, _ends(len(ids), (cuts[a:b] - first).tolist())
+
+
 def merkle_root(digests: list[bytes]) -> bytes:
     """Root of a binary tree over digests, a lone node going up as it is; leaves and inner nodes are hashed apart."""
     level = [hashlib.blake2b(b"\0" + d, digest_size=16).digest() for d in digests] or [hashlib.blake2b(b"", digest_size=16).digest()]
@@ -251,14 +280,14 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "
         kind = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("offset", pa.int64()), ("length", pa.int32()), ("fresh", pa.bool_())]))
         for batch in batches:
             ns, roots, packs, lists = [], [], [], []
-            for ids in texts_to_ids([t or "" for t in batch.column(1).to_pylist()]):
+            found = texts_to_ids([t or "" for t in batch.column(1).to_pylist()])
+            for ids, ends in chunked(np.append(ids, np.uint32(end_id)) for ids in found):
                 if out is None or out.at > PACK_BYTES:
                     if out:
                         out.close()
                     out = PartFile(f"{folder}/staging", ".pack")
-                ids = np.append(ids, np.uint32(end_id))
                 chunks, at = [], 0
-                for end in chunk_ends(ids):
+                for end in ends:
                     part, at = ids[at:end], end
                     digest = chunk_digest(part)
                     fresh = digest not in known
