@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colframe.operators import aggregate as agg
+from colframe.operators import join as joins
 from colframe.operators import tables as tb
 from colframe.operators.join import join, join_on
 from colframe.operators.sort import sort, sorted_slice
@@ -273,3 +274,18 @@ def test_pushdown(spark, data):
     df = tb.apply_boolean_mask(io.parquet_read(spark, [f"{data}/lineitem.parquet"]), F.col("l_quantity") > 45).select("l_orderkey")
     text = plan(df)
     assert "GreaterThan(l_quantity,45.0)" in text and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in text
+
+
+@pytest.mark.parametrize("nulls_equal", [True, False])
+@pytest.mark.parametrize("kind", ["INNER", "LEFT", "RIGHT", "FULL", "SEMI", "ANTI"])
+def test_join_of_keys_that_repeat(spark, monkeypatch, kind, nulls_equal):
+    """Frequent, rare and unmatched keys, nulls, equal rows and maps, two keys of different integer types."""
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    monkeypatch.setattr(joins, "PAIRS", 20)
+    row = F.col("id")
+    a = spark.range(60).select(F.when(row % 5 != 0, row % 4).alias("x"), F.when(row % 7 != 0, row % 2).cast("int").alias("y"), F.create_map(F.lit("v"), row % 3).alias("v"))
+    b = spark.range(40).select(F.when(row % 3 != 0, row % 6).alias("z"), F.when(row % 9 != 0, row % 2).alias("w"), (row % 2).alias("u"))
+    for keys in ((["x"], ["z"]), (["x", "y"], ["z", "w"]), (["y"], ["w"])):
+        got, want = (joins.join(a, b, lhs_keys=keys[0], rhs_keys=keys[1], join_type=kind, nulls_equal=nulls_equal, keys_repeat=repeat) for repeat in (True, False))
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from colframe import queries
 
@@ -40,6 +41,30 @@ def test_joins(spark, con, name):
         assert {r["s_suppkey"] for r in rows} - {None} == {k for (k,) in con.sql("SELECT s_suppkey FROM supplier").fetchall()}
 
 
+@pytest.fixture(scope="module")
+def thirty_times(tmp_path_factory):
+    """Customers and suppliers thirty times, with keys of their own."""
+    folder = tmp_path_factory.mktemp("thirty")
+    for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        duckdb.sql(f"COPY (SELECT x.* REPLACE ({k} + i * 100000 AS {k}) FROM range(30) r(i), '{DATA}/{t}.parquet' x) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [n for n in JOINS if "_semi_" not in n and "_anti_" not in n])
+def test_frequent_keys_are_shared_among_tasks(spark, thirty_times, tmp_path, name):
+    out = str(tmp_path / "out")
+    queries.queries()[name](spark, thirty_times).withColumn("task", F.spark_partition_id()).write.parquet(out)
+    c = duckdb.connect()
+    for t in ("customer", "supplier"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{thirty_times}/{t}.parquet'")
+    cols = "c_custkey, k, s_suppkey, j"
+    total = f"SELECT count(*), sum(hash({cols})::HUGEINT), count(k), count(j), count(c_custkey), count(s_suppkey)"
+    got = c.sql(f"{total} FROM '{out}/*.parquet'").fetchall()
+    assert got == c.sql(f"{total} FROM ({queries.oracle_sql()[name]})").fetchall()
+    most = c.sql(f"SELECT max(n) FROM (SELECT count(*) AS n FROM '{out}/*.parquet' GROUP BY task)").fetchall()[0][0]
+    assert most < got[0][0] / 6
+
+
 def test_semi_and_anti_are_all_rows(spark, con):
     n = con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
     for nulls in ("nulleq", "nullneq"):
