@@ -147,3 +147,15 @@ def test_unknown_operations():
         s.binary(1, 2, "nope")
     with pytest.raises(ValueError, match="unknown"):
         s.unary(F.lit(1), "nope")
+
+
+def test_rounded_as_duckdb(spark):
+    import duckdb
+
+    x = [59878.45, 98749.81, 0.0, -0.5, 2.5, -2.675, 1e300, 1e308, NAN, INF, -INF, None]
+    x += [math.sqrt(i / 100) for i in range(90_068, 10_499_991, 101)]
+    df = spark.createDataFrame([(v,) for v in x], "x double").coalesce(1)
+    con = duckdb.connect()
+    frame = pa.table({"x": pa.array(x, pa.float64(), from_pandas=False)})  # noqa: F841
+    for digits in (9, 4, 2, 0, -2):
+        assert same(values(df, s.rounded("x", digits)), [r[0] for r in con.sql(f"SELECT round(x, {digits}) FROM frame").fetchall()])
