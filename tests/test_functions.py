@@ -1,6 +1,7 @@
 """Element-wise functions on small frames: nulls, NaN, overflow, bad arguments."""
 
 import math
+import struct
 
 import pyarrow as pa
 import pytest
@@ -159,3 +160,12 @@ def test_rounded_as_duckdb(spark):
     frame = pa.table({"x": pa.array(x, pa.float64(), from_pandas=False)})  # noqa: F841
     for digits in (9, 4, 2, 0, -2):
         assert same(values(df, s.rounded("x", digits)), [r[0] for r in con.sql(f"SELECT round(x, {digits}) FROM frame").fetchall()])
+
+
+def test_computed_nans_have_plain_bits(spark):
+    """The bits of NaN as DuckDB writes it, not those that the processor makes of 0 * inf or the root of -1."""
+    df = spark.range(1000).select((F.col("id") * 0.0).alias("zero"), (-1.0 - F.col("id")).alias("below"))
+    x = {"z": s.binary(F.col("zero"), F.col("zero"), "true_divide"), "q": s.unary("below", "sqrt"), "a": s.unary("below", "acosh"), "p": s.binary(F.col("below"), 0.5, "power")}
+    out = df.select(*[v.alias(k) for k, v in x.items()]).toArrow()
+    for k in x:
+        assert {struct.pack(">d", v).hex() for v in out.column(k).to_numpy()} == {"7ff8000000000000"}
