@@ -289,3 +289,13 @@ def test_join_of_keys_that_repeat(spark, monkeypatch, kind, nulls_equal):
         got, want = (joins.join(a, b, lhs_keys=keys[0], rhs_keys=keys[1], join_type=kind, nulls_equal=nulls_equal, keys_repeat=repeat) for repeat in (True, False))
         assert got.columns == want.columns and got.dtypes == want.dtypes
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_sort_by_tasks(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 3 != 0, F.col("id") % 7).alias("a"), F.col("id").alias("b")).repartition(3)
+    for options in ({}, {"nulls_at_end": False}, {"sort_ascending": [False, True]}):
+        assert sort(df, ["a", "b"], tasks=9, **options).collect() == sort(df, ["a", "b"], **options).collect()
+    assert sort(df.coalesce(1).orderBy("b"), ["a"], stable=True, tasks=9).collect() == sort(df, ["a", "b"]).collect()
+    for bad in (lambda: sort(df, ["a"], tasks=9, limit=3), lambda: sorted_slice(df, ["a"], 5, 3, tasks=9)):
+        with pytest.raises(ValueError, match="without a limit"):
+            bad()

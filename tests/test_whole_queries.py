@@ -98,3 +98,10 @@ def test_sort_stable(spark, con):
     assert len(rows) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
     got = [tuple(r) for r in queries.queries()["sort_stable"](spark, DATA).select("l_returnflag", "place").collect()]
     assert got == sorted(got)
+
+
+def test_sort_stable_takes_no_flag_into_one_task(spark, con):
+    df = queries.queries()["sort_stable"](spark, DATA)
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0] and max(tasks) < sum(tasks) / 6
+    assert df.schema["place"].dataType.simpleString() == "bigint"
